@@ -1,13 +1,17 @@
 """The training-data queries, by name, and the SQL of those that SQL can express."""
 
-from . import decontam, urlrules
+from . import decontam, secrets, urlrules, warc
 
 QUERIES = {
+    "op1_warc": warc.op1,
     "op3_decontamination": decontam.op3,
+    "op6_secret_scan": secrets.op6,
     "op9_url_filter": urlrules.op9,
 }
 
 ORACLE_SQL = {
+    "op1_warc": warc.ORACLE,
     "op3_decontamination": decontam.ORACLE,
+    "op6_secret_scan": secrets.ORACLE,
     "op9_url_filter": urlrules.ORACLE,
 }
