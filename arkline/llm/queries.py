@@ -1,11 +1,12 @@
 """The training-data queries, by name, and the SQL of those that SQL can express."""
 
-from . import decontam, secrets, toxicity, urlrules, warc
+from . import decontam, pieces, secrets, toxicity, urlrules, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
     "op3_decontamination": decontam.op3,
     "op6_secret_scan": secrets.op6,
+    "op7_sentencepiece": pieces.op7,
     "op9_url_filter": urlrules.op9,
     "op10_toxicity": toxicity.op10,
 }
