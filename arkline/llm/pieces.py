@@ -96,10 +96,13 @@ class Codec:
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = i
+        # an ASCII byte is a character of its own wherever it stands
+        self.surfaces = [p if t == _NORMAL else chr(int(p[3:5], 16)) if t == _BYTE and int(p[3:5], 16) < 128 else None for p, t in zip(model.pieces, model.types, strict=True)]
         self.texts = list(model.pieces)  # with characters that have no piece appended as they come
         self.strange: dict[str, int] = {}
         self.fresh: dict[str, tuple[int, ...]] = {}  # words, in two generations: a full one
         self.aged: dict[str, tuple[int, ...]] = {}  # pushes the older one out
+        self.bare: dict[str, tuple[int, ...]] = {}  # fresh words without their blank
         self.apart: dict[int, bool] = {}
         self.edges: dict[str, _Edges] = {}
         self.scores = [np.float32(x) for x in model.scores]
@@ -122,6 +125,15 @@ class Codec:
             out.extend(self._search(text))
             return out
         byte_fallback = self.model.byte_fallback
+        if byte_fallback and self.plain_blanks(text):  # every word has one blank before it
+            get = self.bare.get
+            for bare in text[1:].split(BLANK):
+                found = get(bare)
+                if found is None:
+                    found = self._word(BLANK + bare)
+                    get = self.bare.get
+                out.extend(found)
+            return out
         get = self.fresh.get
         for word in re.findall(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", text):
             found = get(word)
@@ -134,14 +146,20 @@ class Codec:
             out.extend(found)
         return out
 
+    @staticmethod
+    def plain_blanks(text: str) -> bool:
+        return text.startswith(BLANK) and BLANK * 2 not in text and not text.endswith(BLANK)
+
     def _word(self, word: str) -> tuple[int, ...]:
         found = self.aged.get(word)
         if found is None:
             found = tuple(self._search(word))
         if len(word) <= CACHED_LENGTH:
             if len(self.fresh) >= CACHE:
-                self.aged, self.fresh = self.fresh, {}
+                self.aged, self.fresh, self.bare = self.fresh, {}, {}
             self.fresh[word] = found
+            if word[:1] == BLANK:
+                self.bare[word[1:]] = found
         return found
 
     def _strange(self, char: str) -> int:
@@ -320,6 +338,15 @@ class Codec:
     # -------------------------------------------------- ids to text
 
     def decode(self, ids) -> str:
+        try:
+            text = "".join(map(self.surfaces.__getitem__, ids))
+        except TypeError:  # some ids have no text of their own
+            text = self._surface(ids)
+        if self.model.dummy_prefix or self.model.trim_blanks:
+            text = text[1:] if text.startswith(BLANK) else text
+        return text.replace(BLANK, " ")
+
+    def _surface(self, ids) -> str:
         out, raw = [], bytearray()
         types, pieces = self.model.types, self.model.pieces
         for i in ids:
@@ -333,10 +360,7 @@ class Codec:
             out.append("" if kind == _CONTROL else self.model.unknown_surface if kind == _UNKNOWN else pieces[i])
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
-        if self.model.dummy_prefix or self.model.trim_blanks:
-            text = text[1:] if text.startswith(BLANK) else text
-        return text.replace(BLANK, " ")
+        return "".join(out)
 
 
 # ---------------------------------------------------------------- Spark
