@@ -47,6 +47,7 @@ _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)(?:\s*
 _words = lambda text: frozenset(text.split())
 #: Fixed names: elements by what they are for.
 RAW = _words("script style textarea title noscript template iframe svg math noembed noframes xmp canvas object")
+UNSEEN = _words("script style noscript template")
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
 INLINE = _words("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr center")
 CELLS = _words("td th")
@@ -350,7 +351,7 @@ def _blocks(element: Element, out: list[str], inside: bool) -> None:
             if kid.tag == "header" and inside and any(not isinstance(k, str) and k.tag == "h1" for k in _below(kid)):
                 flush()
                 _blocks(kid, out, inside)
-            elif kid.tag not in INLINE:
+            elif kid.tag not in INLINE and kid.tag not in UNSEEN:
                 flush()
         elif element.tag == "tr" and kid.tag in CELLS and all(isinstance(k, str) for k in kid.kids):
             text += [" ", *kid.kids, " "]
