@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import masks, paths, sizes, times
-from ..operators import catalog, dedup, leaderboard, planner, solid, volumes
+from ..functions import kernels, masks, paths, sizes, times
+from ..operators import catalog, dedup, leaderboard, planner, recovery, solid, volumes
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -467,3 +467,27 @@ def target_conflicts(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     target = F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.concat_ws("/", "source", F.col("doc_id").cast("string")))
     return dedup.target_conflicts(docs.select(target.alias("target"), F.lit(False).alias("is_dir")))
+
+
+@query(None)
+def blake2sp_digest(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return docs.select("entry_idx", F.hex(kernels.blake2sp_column(F.col("content").cast("binary"))).alias("blake2sp"), F.hex(kernels.crc64_column(F.col("content").cast("binary"))).alias("crc64"))
+
+
+@query(None)
+def cdc_chunks(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select("entry_idx", F.explode(kernels.chunks_column(F.col("content").cast("binary"))).alias("c"))
+    return docs.select("entry_idx", "c.offset", "c.length", "c.hash")
+
+
+@query(None)
+def gf_parity(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select("entry_idx", F.col("content").cast("binary").alias("content"))
+    return recovery.protect(docs, 5).select("entry_idx", "d", "nr", F.sha2(F.concat(*[F.coalesce(F.try_element_at("parity", F.lit(k)), F.lit(b"").cast("binary")) for k in range(1, 4)]), 256).alias("parity_sha256"))
+
+
+@query("SELECT doc_id AS entry_idx, lower(to_base(crc, 16, 8)) AS crc32, coalesce(length(text), 0) AS size FROM (SELECT doc_id, text, doc_id * 2654435761 % 4294967296 AS crc FROM documents)")
+def list_technical(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("entry_idx"), F.lower(catalog.crc_text(F.col("doc_id") * 2654435761 % 4294967296)).alias("crc32"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"))

@@ -71,3 +71,37 @@ def test_keys_and_limits():
 def test_volume_sizes_and_folding():
     assert [sizes.volume_size(x) for x in ("", "-", "100k", "1.5g", "7", "x", "5q")] == [sizes.AUTO, 0, 102400, 1610612736, 7, None, None]
     assert fold_text("Straße ẞ İ ΣΑΣ") == "straße ß İ σασ"
+
+
+def test_parity_and_repair_of_frames(spark):
+    from pyspark.sql import functions as F
+
+    from arkline.operators import recovery
+
+    df = spark.createDataFrame([(1, bytearray(range(256)) * 20), (2, bytearray(b"x")), (3, bytearray(b""))], "id long, content binary")
+    safe = recovery.protect(df, 30)
+    width = F.col("group_count").cast("int")
+    broken = safe.withColumn("bad", F.when(F.octet_length("content") > width, F.concat(F.unhex(F.expr("repeat('00', cast(group_count as int))")), F.substring("content", width + 1, F.octet_length("content")))).otherwise(F.col("content")))
+    fixed = broken.select("id", "content", recovery.repaired("bad", F.array(F.lit(0)), "parity", "d").alias("again"))
+    assert all(bytes(r.content) == bytes(r.again) for r in fixed.collect() if r.id != 3)
+
+
+def test_unpadded_decryption(spark):
+    from pyspark.sql import functions as F
+
+    from arkline.functions import crypto
+
+    key, iv, text = b"k" * 32, b"i" * 16, b"sixteen byte msg" * 2
+    sealed = spark.range(1).select(F.aes_encrypt(F.lit(text), F.lit(key), F.lit("CBC"), F.lit("PKCS"), F.lit(iv)).alias("c"))
+    bare = sealed.select(F.substring("c", 17, 32).alias("c"))  # no IV, no padding block
+    assert bytes(bare.select(crypto.decrypt_cbc(F.col("c"), F.lit(key), F.lit(iv)).alias("p")).first().p) == text
+    keys = spark.createDataFrame([("pw", bytearray(b"s" * 16), 3)] * 2, "p string, s binary, n int").select(crypto.keys_column("p", "s", "n").alias("k"))
+    assert {bytes(r.k.aes_key) for r in keys.collect()} == {k.derive_keys("pw", b"s" * 16, 3)[0]}
+
+
+def test_transcoding_plan(spark):
+    from arkline.operators import transcode
+
+    rows = [("z", 0, "d/", True, None, None, None), ("z", 1, "a", False, bytearray(b"same"), None, None), ("z", 2, "b", False, bytearray(b"same"), None, None), ("z", 3, "l", False, None, (4, False, "a"), None), ("z", 4, "m", False, None, (4, False, "later"), None), ("z", 5, "e", False, bytearray(b""), None, None), ("z", 6, "bad", False, None, None, "crc32")]
+    df = spark.createDataFrame(rows, "archive string, entry_idx long, name string, is_dir boolean, content binary, redir struct<type: int, dir_target: boolean, target: string>, error string")
+    assert [r.becomes for r in transcode.plan(df).orderBy("entry_idx").collect()] == ["dir", "file", "reference", "link", "skip", "file", "skip"]
