@@ -20,6 +20,7 @@ ORACLE_SQL = {
     "op2_top_k": covertree.ORACLE,
     "op3_decontamination": decontam.ORACLE,
     "op4_jaccard_join": jaccard.ORACLE,
+    "op5_html_text": wrappers.ORACLE,
     "op6_secret_scan": secrets.ORACLE,
     "op9_url_filter": urlrules.ORACLE,
 }

@@ -455,3 +455,14 @@ def op5(spark, sf_dir):
     return extract(pages, Workspace(spark, "wrappers")).select("page_id", "url", "text", "n_chars")
 
 
+
+
+#: Reads pages whose text is in one article element, as those of the tables are.
+ORACLE = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)(</article>|$)', 1), '(?i)<br\s*/?>', ' ', 'g') AS h FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(h, '(?i)</?(p|h[1-6]|ul|ol|li|div|section|blockquote|pre)(\s[^>]*)?>'),
+  lambda x: regexp_replace(x, '<[^>]*(>|$)', '', 'g')) AS parts FROM a),
+c AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(replace(replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;?', '&', 'g')) AS parts FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
+"""
