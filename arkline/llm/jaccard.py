@@ -123,7 +123,7 @@ class _Seen:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    schema = T.StructType([*docs.schema.fields[:-1], *T.StructType.fromDDL("n_shingles long, _set binary").fields])
+    schema = T.StructType([*docs.schema.fields[:-1], *T.StructType.fromDDL("_ark_n long, _set binary").fields])
 
     def run(batches):
         for batch in batches:
@@ -136,9 +136,10 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _window_counts(texts: DataFrame, hot, fresh) -> DataFrame:
+def _window_counts(texts: DataFrame, hot, older) -> DataFrame:
     """How many sets have a shingle in their window, for shingles in more than HOT windows.
-    With fresh (hot shingles of the last level), only windows these were in, and only what entered."""
+    With older (the hot shingles of the level before), only in windows that have changed since,
+    and only what entered."""
 
     def run(batches):
         seen = _Seen()
@@ -148,11 +149,11 @@ def _window_counts(texts: DataFrame, hot, fresh) -> DataFrame:
                 if not len(s) or not seen.new(set_name(s)):
                     continue
                 now = in_order(s, hot.value)[: window(s)]
-                if fresh is not None:
-                    then = in_order(s, np.setdiff1d(hot.value, fresh.value))[: window(s)]
-                    if not np.isin(then, fresh.value).any():
+                if older is not None:
+                    then = in_order(s, older.value)[: window(s)]
+                    if np.array_equal(then, now):
                         continue
-                    now = np.setdiff1d(now, then)
+                    now = np.setdiff1d(now, then, assume_unique=True)
                 out.append(now)
             flat = np.concatenate(out) if out else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["pivot"])
@@ -163,18 +164,17 @@ def _window_counts(texts: DataFrame, hot, fresh) -> DataFrame:
 def hot_shingles(texts: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
     """Shingles that stand last in the order (sorted), and of those in more than SPLIT windows the count."""
     sc = texts.sparkSession.sparkContext
-    hot, large, fresh = np.zeros(0, np.uint64), {}, None
+    hot, large, older = np.zeros(0, np.uint64), {}, None
     for _ in range(LEVELS):
-        counts = _window_counts(texts, sc.broadcast(hot), None if fresh is None else sc.broadcast(fresh))
+        counts = _window_counts(texts, sc.broadcast(hot), None if older is None else sc.broadcast(older))
         got = counts.orderBy(F.desc("count"), "pivot").limit(MAX_HOT - len(hot)).toArrow() if len(hot) < MAX_HOT else None
         if got is None or not got.num_rows:
             break
         found, n = got["pivot"].to_numpy().view(np.uint64), got["count"].to_numpy()
         large |= {int(p): int(c) for p, c in zip(found[n > SPLIT], n[n > SPLIT], strict=True)}
-        fresh = np.sort(np.setdiff1d(found, hot))
-        if not len(fresh):
+        if np.isin(found, hot).all():
             break
-        hot = np.union1d(hot, fresh)
+        hot, older = np.union1d(hot, found), hot
     return hot, large
 
 
@@ -263,30 +263,36 @@ def _bit_filter(names: DataFrame) -> np.ndarray:
     return np.unpackbits(table.view(np.uint8), bitorder="little")
 
 
-def _set_table(texts: DataFrame, wanted: DataFrame, space: Workspace) -> DataFrame:
-    """set, shingles and bins of the wanted sets. The filter keeps others from moving; the join is exact."""
+def _described(texts: DataFrame, wanted: DataFrame, what: str, space: Workspace) -> DataFrame:
+    """set and ``what`` (shingles or bins) of the wanted sets. The filter keeps most others from
+    moving; what it lets through besides finds no partner in the joins."""
     shared = texts.sparkSession.sparkContext.broadcast(np.packbits(_bit_filter(wanted), bitorder="little"))
 
     def run(batches):
         bits, seen = np.unpackbits(shared.value, bitorder="little"), _Seen()
         for batch in batches:
-            names, sets, bins, size = [], [], [], 0
+            names, values, size = [], [], 0
             for s in shingle_sets(batch.column(0)):
                 if not len(s) or not bits[_spark_hash(name := set_name(s)) % FILTER_BITS] or not seen.new(name):
                     continue
                 names.append(name)
-                sets.append(s.tobytes())
-                bins.append(np.bincount((s >> _U(20)).astype(np.int64) & (BINS - 1), minlength=BINS).astype(np.int32).tobytes())
-                size += len(s)
-                if size > 1 << 21:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (names, sets, bins)], names=["set", "shingles", "bins"])
-                    names, sets, bins, size = [], [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (names, sets, bins)], names=["set", "shingles", "bins"])
-
-    found = texts.mapInArrow(run, "set binary, shingles binary, bins binary")
+                values.append(s.tobytes() if what == "shingles" else _bins(s))
+                size += len(values[-1])
+                if size > 1 << 24:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (names, values)], names=["set", what])
+                    names, values, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (names, values)], names=["set", what])
+
+    found = texts.mapInArrow(run, f"set binary, {what} binary")
     return space.table(found.dropDuplicates(["set"]))
 
 
+def _bins(s: np.ndarray) -> bytes:
+    """The size as 8 bytes, then how many shingles each bin has, 65535 at most."""
+    counts = np.bincount((s >> _U(20)).astype(np.int64) & (BINS - 1), minlength=BINS)
+    return np.int64(len(s)).tobytes() + np.minimum(counts, 65535).astype(np.uint16).tobytes()
+
+
 def _spark_hash(name: bytes) -> int:
     """Spark's xxhash64 of a binary value."""
     import xxhash
@@ -294,17 +300,20 @@ def _spark_hash(name: bytes) -> int:
     return xxhash.xxh64_intdigest(name, seed=42)
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
-    """Of pairs (a, b) those that link."""
-    side = lambda name, column: sets.select(F.col("set").alias(f"_{name}"), F.col(column).alias(f"{column}_{name}"))
-    both = lambda p, column: p.join(side("a", column), F.col("a") == F.col("_a")).join(side("b", column), F.col("b") == F.col("_b"))
+def _compared(pairs: DataFrame, texts: DataFrame, bins: DataFrame, space: Workspace) -> DataFrame:
+    """Of pairs (a, b) those that link. bins: those of all sets in pairs."""
+
+    def both(p, table, column):
+        side = lambda name: table.select(F.col("set").alias(f"_{name}"), F.col(column).alias(f"{column}_{name}"))
+        return p.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b")).select("a", "b", f"{column}_a", f"{column}_b")
 
     def near(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.int32).reshape(-1, BINS).astype(np.int64) for c in ("bins_a", "bins_b"))
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, 8 + 2 * BINS) for c in ("bins_a", "bins_b"))
+            size = sum(np.ascontiguousarray(v[:, :8]).view(np.int64)[:, 0] for v in (x, y))
+            x, y = (np.ascontiguousarray(v[:, 8:]).view(np.uint16).astype(np.int64) for v in (x, y))
             # |x ^ y| is at least the bins' distance, and at most (|x| + |y|) / 9 where x and y link
-            ok = 9 * np.abs(x - y).sum(1) <= x.sum(1) + y.sum(1)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(9 * np.abs(x - y).sum(1) <= size))
 
     def equal(batches):
         for batch in batches:
@@ -315,8 +324,11 @@ def _compared(pairs: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
                 ok.append(100 * common >= 80 * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    close = space.table(both(pairs.select("a", "b"), "bins").select("a", "b", "bins_a", "bins_b").mapInArrow(near, "a binary, b binary"))
-    return space.table(both(close, "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(equal, "a binary, b binary"))
+    close = space.table(both(pairs, bins, "bins").mapInArrow(near, "a binary, b binary"))
+    sets = _described(texts, close.select(F.col("a").alias("set")).union(close.select(F.col("b").alias("set"))), "shingles", space)
+    linked = space.table(both(close, sets, "shingles").mapInArrow(equal, "a binary, b binary"))
+    space.tidy()
+    return linked
 
 
 def components(links: DataFrame, space: Workspace) -> DataFrame:
@@ -343,7 +355,7 @@ def grouped(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col:
     """(docs without text, with _ark_id, n_shingles and _set; a row for each _set with its
     smallest id, first, and its component's root)."""
     rest = [docs[c] for c in docs.columns if c not in (text_col, "n_shingles", "component_id")]
-    signed = space.table(_signed(docs.select(*rest, docs[id_col].alias("_ark_id"), docs[text_col].cast("binary").alias("_ark_text"))))
+    signed = space.table(_signed(docs.select(*rest, docs[id_col].alias("_ark_id"), docs[text_col].cast("binary").alias("_ark_text"))).withColumnRenamed("_ark_n", "n_shingles"))
     texts = docs.select(docs[text_col].cast("binary").alias("_ark_text")).where("_ark_text IS NOT NULL")
     roots = set_components(texts, space)
     firsts = signed.where("_set IS NOT NULL").groupBy("_set").agg(F.min("_ark_id").alias("first"))
@@ -365,7 +377,7 @@ def one_of_each(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_
     _, rooted = grouped(docs.select(id_col, text_col), space, id_col, text_col)
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("n"), "first", "_set")).alias("k"))
     keep = space.table(best.select(F.col("k.first").alias("_keep_id"), F.col("k._set").alias("_keep_set")))
-    named = _signed(docs.select(*[docs[c] for c in docs.columns], docs[text_col].cast("binary").alias("_ark_text"))).drop("n_shingles")
+    named = _signed(docs.select(*[docs[c] for c in docs.columns], docs[text_col].cast("binary").alias("_ark_text"))).drop("_ark_n")
     kept = named.where("_set IS NOT NULL").join(keep, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_set") == F.col("_keep_set")), "left_semi")
     return kept.dropDuplicates([id_col, "_set"]).unionByName(named.where("_set IS NULL")).select(*docs.columns)
 
@@ -373,7 +385,9 @@ def one_of_each(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_
 def set_components(texts: DataFrame, space: Workspace) -> DataFrame:
     """set and root of every shingle set that has a link; texts has one binary column."""
     hot, large = hot_shingles(texts)
+    space.tidy()
     regions = space.table(_regions(texts, hot, large))
+    space.tidy()
     met = regions.where("leader <> set").groupBy("leader", "set").agg(F.count("*").alias("n"))
     if large:  # leaders of a divided region meet its first
         tops = regions.groupBy("pivot").agg(F.min("leader").alias("top"), F.max("leader").alias("end")).where("top <> end")
@@ -381,17 +395,17 @@ def set_components(texts: DataFrame, space: Workspace) -> DataFrame:
         met = met.union(divided.groupBy(F.col("top").alias("leader"), F.col("leader").alias("set")).agg(F.count("*").alias("n")))
     met = space.table(met)
     wanted = met.select("set").union(met.select(F.col("leader").alias("set")))
-    sets = _set_table(texts, wanted, space)
+    bins = _described(texts, wanted, "bins", space)
     best = met.groupBy("set").agg(F.max(F.struct("n", "leader")).alias("best")).select(F.col("best.leader").alias("a"), F.col("set").alias("b"))
-    links = _compared(best, sets, space)
+    links = _compared(best, texts, bins, space)
     roots = components(links, space)
-    more = _compared(_open_pairs(regions, met, roots, space), sets, space)
+    more = _compared(_open_pairs(regions, roots, space), texts, bins, space)
     if more.isEmpty():
         return roots
     return components(links.union(more), space)
 
 
-def _open_pairs(regions: DataFrame, met: DataFrame, roots: DataFrame, space: Workspace) -> DataFrame:
+def _open_pairs(regions: DataFrame, roots: DataFrame, space: Workspace) -> DataFrame:
     """Pairs of a region's sets in different components that may link."""
     rooted = lambda df, c, name: df.join(roots.select(F.col("set").alias("_s"), F.col("root").alias("_r")), F.col(c) == F.col("_s"), "left").withColumn(name, F.coalesce("_r", c)).drop("_s", "_r")
     named = space.table(rooted(regions, "set", "root"))
@@ -401,7 +415,7 @@ def _open_pairs(regions: DataFrame, met: DataFrame, roots: DataFrame, space: Wor
     y = rows.select(F.col("pivot").alias("pivot_y"), *[F.col(c).alias(f"{c}_y") for c in ("set", "size", "place", "root")])
     sizes = F.col("size_x") + F.col("size_y")
     # as the first common shingle, the pivot leaves at most the rest of either set in common
-    rest = 1 + F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) - 1
+    rest = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
     fits = (5 * F.least("size_x", "size_y") >= 4 * F.greatest("size_x", "size_y")) & (9 * rest >= 4 * sizes)
     pairs = x.join(y, (F.col("pivot") == F.col("pivot_y")) & (F.col("set_x") < F.col("set_y")) & (F.col("root_x") != F.col("root_y")) & fits)
     return space.table(pairs.select(F.col("set_x").alias("a"), F.col("set_y").alias("b")).distinct())

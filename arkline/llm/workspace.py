@@ -8,6 +8,7 @@ machine-local temporary folder, so a lost executor loses no table.
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,12 @@ class Workspace:
         df.write.parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
 
+    def tidy(self) -> None:
+        """Lets Spark delete the shuffle files of plans that nothing refers to any more; it
+        finds them only when both garbage collectors have run."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def release(self) -> None:
         try:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
