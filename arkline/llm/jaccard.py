@@ -17,12 +17,11 @@ passage that many texts share opens no region while a text has other shingles. T
 found by counting all windows, level by level; any order is exact, so the number of these
 shingles can be bounded.
 
-Recursion. A region's leader is a pivot document. First every set is compared with the
-leader it shares most regions with, and sets within EPS of it join its component. Where a
-region still holds several components, it is joined again: its sets' distances to the
-leader differ by at most EPS for a linked pair, sizes and places in the order bound the
-overlap, and only pairs of different components are compared. Pairs inside a component
-are never made, so a group of n copies costs n comparisons.
+Recursion. A region's leader, its first set by name, is a pivot document: every set is
+compared with its regions' leaders, and sets within EPS of one join its component. A region
+that still holds several components is joined again by pairs of sets in different
+components whose sizes and places in the order leave room for the overlap. Pairs inside a component are
+never made, so a group of n copies costs about n comparisons for each of a few leaders.
 
 Comparisons. Exact copies are one set. Counts of shingles in BINS bins are at most as far
 apart (in the sum of differences) as the sets, which drops most pairs; the others are
@@ -51,7 +50,7 @@ from .workspace import Workspace
 
 WORDS = 5
 HOT = 64
-LEVELS = 3
+LEVELS = 2
 MAX_HOT = 200_000
 SPLIT = 20_000
 BINS = 128
@@ -72,7 +71,8 @@ def shingle_sets(column: pa.Array):
         for d in range(j - i):
             a, b = int(first[d]), int(first[d + 1])
             if b - a >= WORDS:
-                yield np.unique(full[a : b - WORDS + 1])
+                own = np.sort(full[a : b - WORDS + 1])
+                yield own[np.concatenate([[True], own[1:] != own[:-1]])]
             elif b > a:
                 value = np.array([b - a], np.uint64)
                 for k in range(a, b):
@@ -86,12 +86,15 @@ def set_name(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _in_sorted(s: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(s), bool)
+    return table[np.minimum(np.searchsorted(table, s), len(table) - 1)] == s
+
+
 def in_order(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """s with its hot shingles last; hot is sorted."""
-    if not len(hot):
-        return s
-    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-    is_hot = hot[at] == s
+    is_hot = _in_sorted(s, hot)
     return np.concatenate([s[~is_hot], s[is_hot]]) if is_hot.any() else s
 
 
@@ -139,7 +142,7 @@ def _signed(docs: DataFrame) -> DataFrame:
 def _window_counts(texts: DataFrame, hot, older) -> DataFrame:
     """How many sets have a shingle in their window, for shingles in more than HOT windows.
     With older (the hot shingles of the level before), only in windows that have changed since,
-    and only what entered."""
+    and what entered them (or could)."""
 
     def run(batches):
         seen = _Seen()
@@ -151,9 +154,12 @@ def _window_counts(texts: DataFrame, hot, older) -> DataFrame:
                 now = in_order(s, hot.value)[: window(s)]
                 if older is not None:
                     then = in_order(s, older.value)[: window(s)]
-                    if np.array_equal(then, now):
+                    changed = np.count_nonzero(_in_sorted(then, hot.value)) - np.count_nonzero(_in_sorted(then, older.value))
+                    if not changed:
                         continue
-                    now = np.setdiff1d(now, then, assume_unique=True)
+                    # a text that is mostly shared gets all its shingles counted at once, for each
+                    # level would only move its window on to further shared ones
+                    now = np.setdiff1d(s if 4 * changed >= len(then) else now, then, assume_unique=True)
                 out.append(now)
             flat = np.concatenate(out) if out else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["pivot"])
@@ -208,7 +214,7 @@ def _regions(texts: DataFrame, hot: np.ndarray, large: dict[int, int]) -> DataFr
             )
 
     rows = texts.mapInArrow(emit, "pivot long, part int, set binary, size int, place int")
-    rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part")
+    rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "set")
 
     def lead(batches):
         held = None  # (pivot, part, leader, its row if not yet out)
@@ -220,6 +226,8 @@ def _regions(texts: DataFrame, hot: np.ndarray, large: dict[int, int]) -> DataFr
             opens[1:] = (pivot[1:] != pivot[:-1]) | (part[1:] != part[:-1])
             several = ~opens
             several[:-1] |= ~opens[1:]
+            if large.value:  # a divided region's sets meet those of its other parts later
+                several |= np.isin(pivot.view(np.uint64), np.array(list(large.value), np.uint64))
             if held is not None and held[0] == pivot[0] and held[1] == part[0]:
                 opens[0] = False
                 run = int(np.flatnonzero(opens)[0]) if opens.any() else len(pivot)
@@ -325,8 +333,10 @@ def _compared(pairs: DataFrame, texts: DataFrame, bins: DataFrame, space: Worksp
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     close = space.table(both(pairs, bins, "bins").mapInArrow(near, "a binary, b binary"))
+    space.tidy()
     sets = _described(texts, close.select(F.col("a").alias("set")).union(close.select(F.col("b").alias("set"))), "shingles", space)
     linked = space.table(both(close, sets, "shingles").mapInArrow(equal, "a binary, b binary"))
+    space.drop(sets)
     space.tidy()
     return linked
 
@@ -396,27 +406,41 @@ def set_components(texts: DataFrame, space: Workspace) -> DataFrame:
     met = space.table(met)
     wanted = met.select("set").union(met.select(F.col("leader").alias("set")))
     bins = _described(texts, wanted, "bins", space)
-    best = met.groupBy("set").agg(F.max(F.struct("n", "leader")).alias("best")).select(F.col("best.leader").alias("a"), F.col("set").alias("b"))
-    links = _compared(best, texts, bins, space)
+    links = _compared(met.select(F.col("leader").alias("a"), F.col("set").alias("b")), texts, bins, space)
     roots = components(links, space)
-    more = _compared(_open_pairs(regions, roots, space), texts, bins, space)
-    if more.isEmpty():
-        return roots
-    return components(links.union(more), space)
+    rows = _open_regions(regions, roots, space)
+    space.drop(regions)
+    pairs = _open_pairs(rows, space)
+    space.drop(rows)
+    space.tidy()
+    more = _compared(pairs, texts, bins, space)
+    return roots if more.isEmpty() else components(links.union(more), space)
 
 
-def _open_pairs(regions: DataFrame, roots: DataFrame, space: Workspace) -> DataFrame:
-    """Pairs of a region's sets in different components that may link."""
-    rooted = lambda df, c, name: df.join(roots.select(F.col("set").alias("_s"), F.col("root").alias("_r")), F.col(c) == F.col("_s"), "left").withColumn(name, F.coalesce("_r", c)).drop("_s", "_r")
-    named = space.table(rooted(regions, "set", "root"))
+def _open_regions(regions: DataFrame, roots: DataFrame, space: Workspace) -> DataFrame:
+    """Rows, with their roots, of the regions that hold several components."""
+    named = regions.join(roots.select(F.col("set").alias("_s"), F.col("root").alias("_r")), F.col("set") == F.col("_s"), "left").select("pivot", "set", "size", "place", F.coalesce("_r", "set").alias("root"))
+    named = space.table(named)
+    space.tidy()
     open_ = named.groupBy("pivot").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select(F.col("pivot").alias("_open"))
-    rows = space.table(named.join(open_, F.col("pivot") == F.col("_open"), "left_semi").select("pivot", "set", "size", "place", "root"))
+    rows = space.table(named.join(open_, F.col("pivot") == F.col("_open"), "left_semi"))
+    space.drop(named)
+    space.tidy()
+    return rows
+
+
+def _fits(size_x, place_x, size_y, place_y):
+    """Whether two sets may link whose first common shingle is the region's pivot: by their sizes,
+    by what either has left from there on, and by what both have before it, which they don't share."""
+    rest, before = F.least(size_x - place_x, size_y - place_y), place_x + place_y
+    return (5 * F.least(size_x, size_y) >= 4 * F.greatest(size_x, size_y)) & (9 * rest >= 4 * (size_x + size_y)) & (9 * before <= size_x + size_y)
+
+
+def _open_pairs(rows: DataFrame, space: Workspace) -> DataFrame:
+    """Pairs of a region's sets in different components that may link."""
     x = rows.select("pivot", *[F.col(c).alias(f"{c}_x") for c in ("set", "size", "place", "root")])
     y = rows.select(F.col("pivot").alias("pivot_y"), *[F.col(c).alias(f"{c}_y") for c in ("set", "size", "place", "root")])
-    sizes = F.col("size_x") + F.col("size_y")
-    # as the first common shingle, the pivot leaves at most the rest of either set in common
-    rest = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
-    fits = (5 * F.least("size_x", "size_y") >= 4 * F.greatest("size_x", "size_y")) & (9 * rest >= 4 * sizes)
+    fits = _fits(F.col("size_x"), F.col("place_x"), F.col("size_y"), F.col("place_y"))
     pairs = x.join(y, (F.col("pivot") == F.col("pivot_y")) & (F.col("set_x") < F.col("set_y")) & (F.col("root_x") != F.col("root_y")) & fits)
     return space.table(pairs.select(F.col("set_x").alias("a"), F.col("set_y").alias("b")).distinct())
 

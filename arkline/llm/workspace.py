@@ -39,6 +39,13 @@ class Workspace:
         df.write.parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
 
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later plan reads."""
+        for df in tables:
+            for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(file)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def tidy(self) -> None:
         """Lets Spark delete the shuffle files of plans that nothing refers to any more; it
         finds them only when both garbage collectors have run."""
