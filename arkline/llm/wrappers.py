@@ -10,10 +10,13 @@ few parts is generalised to a repeated group of optional repeated parts, which k
 wrapper's size bounded by its distinct labels.
 
 The wrapper says which element holds a host's article: an article or main element, else the
-one with the most varying text in paragraphs, without parts that are navigation, adverts,
-notices, forms or comments by their tag or name. Outside article and main, texts that are
-fixed on a host of several pages are dropped as part of the template. A page that lacks the
-wrapper's article element is taken as a wrapper of its own.
+deepest one with all text that isn't fixed, without parts that are navigation, adverts,
+notices, forms or comments by their tag or name. A text of up to LONGEST_FIXED characters is
+fixed if it stands at one place of every page with text of a host and these pages have at
+least FIXED_PAGES different texts, so copies and repeated rows are one page. Outside article
+and main, fixed texts are dropped at their place as part of the template, unless nothing else
+is left of a page. A page that lacks the wrapper's article element is taken as a wrapper of
+its own.
 
 Defined results: a null or tagless html is text of its own (null: empty); unclosed, stray
 and cut tags are tolerated; equal pages give equal texts; a null URL, or one without "://",
@@ -22,6 +25,7 @@ has the host "". Result columns replace input columns of the same name.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import json
 import re
@@ -40,6 +44,7 @@ MOST_PARTS = 40
 DEEPEST = 150  # elements nested deeper become siblings
 HOSTS_HELD = 2000
 FIXED_PAGES = 3
+LONGEST_FIXED = 200
 SALTS = 16
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -145,30 +150,49 @@ def parse(html: str) -> Element:
 
 # ---------------------------------------------------------------- wrappers
 
-# a part of a wrapper: [label, optional, repeated, fixed text or None, parts, noise, pages, varying characters]
-LABEL, OPTIONAL, REPEATED, TEXT, PARTS, NOISY, PAGES, SIZE = range(8)
+# a part of a wrapper: [label, optional, repeated, fixed text or None, parts, noise, pages, characters,
+# a slot: digest of its short texts while all pages have the same; the root: digests of up to FIXED_PAGES different pages]
+LABEL, OPTIONAL, REPEATED, TEXT, PARTS, NOISY, PAGES, SIZE, SAME = range(9)
 _SLOT = "#"
 _GROUP = "()"
 
 
-def wrapper_of(element: Element) -> list:
-    """The wrapper of one page's element, folded."""
+def _digest(*texts: str) -> str:
+    return hashlib.blake2b("\0".join(texts).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+def wrapper_of(root: Element) -> list:
+    """The wrapper of one page, folded; without parts if the page has no text but noise."""
+    texts: list[str] = []
+    whole = _wrapper_of(root, texts, root.noise)
+    if texts:
+        whole[SAME] = [_digest(*texts)]
+    else:
+        whole[PARTS] = []
+    return whole
+
+
+def _wrapper_of(element: Element, texts: list[str], noise: bool) -> list:
+    """The wrapper of an element; its texts outside noise are added to texts."""
     parts, text = [], []
 
     def flush():
         value = _clean("".join(text))
         text.clear()
         if value:
-            parts.append([_SLOT, False, False, value if len(value) <= 200 else None, [], False, 1, len(value)])
+            short = len(value) <= LONGEST_FIXED
+            parts.append([_SLOT, False, False, value if short else None, [], False, 1, len(value), _digest(value) if short else None])
+            if not noise:
+                texts.append(value)
 
     for kid in element.kids:
         if isinstance(kid, str):
             text.append(kid)
         elif kid.tag not in RAW:
             flush()
-            parts.append(wrapper_of(kid))
+            parts.append(_wrapper_of(kid, texts, noise or kid.noise))
     flush()
-    return [element.label, False, False, None, fold(parts), element.noise, 1, 0]
+    return [element.label, False, False, None, fold(parts), element.noise, 1, 0, None]
 
 
 def _shape(part: list) -> str:
@@ -188,7 +212,7 @@ def fold(parts: list) -> list:
                     merged[0][REPEATED] = True
                     out += merged
                 else:
-                    out.append([_GROUP, False, True, None, merged, False, merged[0][PAGES], 0])
+                    out.append([_GROUP, False, True, None, merged, False, merged[0][PAGES], 0, None])
                     break
             if period > 1 and len(out) >= period + 1 and out[-period - 1][LABEL] == _GROUP and [_shape(p) for p in out[-period:]] == [_shape(p) for p in out[-period - 1][PARTS]]:
                 group = out[-period - 1]
@@ -203,7 +227,7 @@ def fold(parts: list) -> list:
         general = list(by_shape.values())
         for part in general:
             part[OPTIONAL] = part[REPEATED] = True
-        parts = [[_GROUP, True, True, None, general, False, max(p[PAGES] for p in general), 0]]
+        parts = [[_GROUP, True, True, None, general, False, max(p[PAGES] for p in general), 0, None]]
     return parts
 
 
@@ -215,7 +239,16 @@ def align(a: list, b: list, together: bool = False) -> list:
     """The wrapper of both; together: both are parts of the same pages."""
     pages = max(a[PAGES], b[PAGES]) if together else a[PAGES] + b[PAGES]
     text = a[TEXT] if a[TEXT] == b[TEXT] else None
-    return [a[LABEL], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], text, _aligned(a[PARTS], b[PARTS], together), a[NOISY] or b[NOISY], pages, a[SIZE] + b[SIZE]]
+    if isinstance(a[SAME] or b[SAME], list):  # roots
+        same = sorted({*(a[SAME] or ()), *(b[SAME] or ())})[:FIXED_PAGES]
+        if not a[PARTS] or not b[PARTS]:  # pages without text say nothing of the others
+            return [*(a if a[PARTS] else b)[:PAGES], pages, a[SIZE] + b[SIZE], same]
+    elif together:
+        same = _digest(a[SAME], b[SAME]) if a[SAME] and b[SAME] else None
+    else:
+        same = a[SAME] if a[SAME] == b[SAME] else None
+    # names don't tell all that makes noise, so a part is noise only if it is on all pages
+    return [a[LABEL], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], text, _aligned(a[PARTS], b[PARTS], together), a[NOISY] and b[NOISY], pages, a[SIZE] + b[SIZE], same]
 
 
 def _aligned(xs: list, ys: list, together: bool) -> list:
@@ -270,47 +303,56 @@ def locate(root: list) -> tuple[str, ...]:
     """The labels from the root down to the element that holds the article."""
     found: dict[str, tuple] = {}
     weights: dict[tuple, int] = {}
+    several = _several(root)
 
-    def walk(part, path):
+    def walk(part, path, optional):
+        """Characters of texts that aren't fixed."""
         own = 0
         for p in part[PARTS]:
             if p[LABEL] == _SLOT:
-                own += p[SIZE]
+                own += 0 if several and not optional and not p[OPTIONAL] and p[SAME] else p[SIZE]
             elif p[LABEL] == _GROUP:
-                own += walk(p, path)
+                own += walk(p, path, optional or p[OPTIONAL])
             elif not _is_noise(p, path):
                 tag, names, below = _tag(p[LABEL]), p[LABEL].split(".")[1:], (*path, p[LABEL])
                 if tag in ("article", "main") or "main" in names:
                     kind = tag if tag in ("article", "main") else "main"
                     found.setdefault(kind, below)
-                own += walk(p, below)
-        weights[path] = weights.get(path, 0) + own
+                inner = walk(p, below, optional or p[OPTIONAL])
+                weights[below] = weights.get(below, 0) + inner
+                own += inner
         return own
 
-    total = walk(root, ())
+    total = walk(root, (), False)
     for kind in ("article", "main"):
         if kind in found:
             return found[kind]
     if not total:
         return ()
-    # the deepest element that still has most of the varying text, then one that is called so
-    named = [p for p, w in weights.items() if p and w >= 0.5 * total and not CONTENT.isdisjoint(re.split(r"[^a-z]+", ".".join(p[-1].split(".")[1:])))]
-    heavy = [p for p, w in weights.items() if w >= 0.8 * total and (not p or _tag(p[-1]) in ("div", "section", "body", "td", "html"))]
-    return max(named, key=len) if named else max(heavy, key=len, default=())
+    # the deepest element that has all of that text and is made to hold blocks, or is called so
+    holds = lambda label: _tag(label) in ("div", "section", "body", "td", "html") or not CONTENT.isdisjoint(re.split(r"[^a-z]+", ".".join(label.split(".")[1:])))
+    return max((p for p, w in weights.items() if w == total and holds(p[-1])), key=len, default=())
+
 
+def _several(root: list) -> bool:
+    return len(root[SAME] or ()) >= FIXED_PAGES
 
-def _fixed(root: list) -> list[str]:
-    """Texts that stand on every one of several pages of a host."""
-    out: set[str] = set()
 
-    def walk(part):
+def _fixed(root: list) -> list[list]:
+    """[labels down to it, text] of texts that stand at one place of every page of a host of several."""
+    out: set[tuple] = set()
+
+    def walk(part, path):
         for p in part[PARTS]:
-            if p[LABEL] == _SLOT and p[TEXT] is not None and p[PAGES] >= FIXED_PAGES and not p[OPTIONAL]:
-                out.add(p[TEXT])
-            walk(p)
+            if p[OPTIONAL]:
+                continue
+            if p[LABEL] == _SLOT and p[TEXT] is not None:
+                out.add((path, p[TEXT]))
+            walk(p, path if p[LABEL] in (_SLOT, _GROUP) else (*path, p[LABEL]))
 
-    walk(root)
-    return sorted(out)
+    if _several(root):
+        walk(root, ())
+    return [[list(path), text] for path, text in sorted(out)]
 
 
 def plan_of(root: list) -> dict:
@@ -335,14 +377,15 @@ def _holders(element: Element, path, depth=0):
             yield from _holders(kid, path, depth + 1)
 
 
-def _blocks(element: Element, out: list[str], inside: bool) -> None:
+def _blocks(element: Element, out: list[tuple], inside: bool, path: tuple[str, ...]) -> None:
+    """Adds (labels down to it, text) of each block."""
     text: list[str] = []
 
     def flush():
         value = _clean("".join(text))
         text.clear()
         if value:
-            out.append(value)
+            out.append((path, value))
 
     for kid in element.kids:
         if isinstance(kid, str):
@@ -350,14 +393,14 @@ def _blocks(element: Element, out: list[str], inside: bool) -> None:
         elif kid.noise:
             if kid.tag == "header" and inside and any(not isinstance(k, str) and k.tag == "h1" for k in _below(kid)):
                 flush()
-                _blocks(kid, out, inside)
+                _blocks(kid, out, inside, (*path, kid.label))
             elif kid.tag not in INLINE and kid.tag not in UNSEEN:
                 flush()
         elif element.tag == "tr" and kid.tag in CELLS and all(isinstance(k, str) for k in kid.kids):
             text += [" ", *kid.kids, " "]
         else:
             flush()
-            _blocks(kid, out, inside or kid.tag == "article")
+            _blocks(kid, out, inside or kid.tag == "article", (*path, kid.label))
     flush()
 
 
@@ -375,11 +418,11 @@ def main_text(html: str, plan: dict | None) -> str:
         if plan is None or plan["path"]:
             plan = plan_of(wrapper_of(tree)) | {"fixed": []}
         found = list(_holders(tree, plan["path"])) or [tree]
-    out: list[str] = []
+    out: list[tuple] = []
     for holder in found:
-        _blocks(holder, out, any(_tag(p) == "article" for p in plan["path"]))
-    fixed = set(plan["fixed"])
-    return "\n\n".join(x for x in out if x not in fixed)
+        _blocks(holder, out, any(_tag(p) == "article" for p in plan["path"]), tuple(plan["path"]) if holder is not tree else ())
+    fixed = {(tuple(path), text) for path, text in plan["fixed"]}
+    return "\n\n".join(text for _, text in [x for x in out if x not in fixed] or out)
 
 
 # ---------------------------------------------------------------- Spark

@@ -1,5 +1,6 @@
 """Search, extraction, tokens, conversations, the classifier and the pipeline against plain versions."""
 
+import json
 import random
 import re
 
@@ -113,6 +114,43 @@ def test_pages_by_host(spark):
     space.release()
 
 
+def _whole(pages):
+    whole = None
+    for p in pages:
+        own = wrappers.wrapper_of(wrappers.parse(p))
+        whole = own if whole is None else wrappers.align(whole, own)
+    return wrappers.plan_of(json.loads(json.dumps(whole)))
+
+
+def test_copies_are_one_page(spark):
+    page = "<div class=post><h1>T</h1><p>short</p></div>"
+    rows = [(i, "http://c.net/", page) for i in range(4)]
+    rows += [(10 + i, "http://d.net/", f"{page}<!-- {i} --><div class=comments>{i}</div>") for i in range(4)]
+    rows += [(20 + i, "http://e.net/", f"<p>Page {i}</p>{page}" if i else page) for i in range(4)]
+    space = Workspace(spark, "test-copies")
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), space).collect()}
+    assert {got[i] for i in (0, 1, 2, 3, 10, 11, 12, 13, 20)} == {"T\n\nshort"}
+    assert [got[i] for i in (21, 22, 23)] == ["Page 1", "Page 2", "Page 3"]
+    space.release()
+
+
+def test_the_element_holds_all_text():
+    body = "<div class=head1><h1>Own title %d</h1></div><div class=content>{}</div><div class=more><p>Last words %d</p></div>".format("<p>Paragraph %d of this page</p>" * 30)
+    pages = ["<body>" + body.replace("%d", str(i)) + "<div><p>Same on all</p></div></body>" for i in range(4)]
+    plan = _whole(pages)
+    assert plan["path"] == ("body",)
+    assert wrappers.main_text(pages[2], plan) == "\n\n".join(["Own title 2", *["Paragraph 2 of this page"] * 30, "Last words 2"])
+    # general parts count once, and only some pages hide a part
+    mixed = ["<body><section>" + "".join(f"<{t}>{i} {t}</{t}>" for t in random.Random(i).choices(["p", "h2", "pre", "ul"], k=90)) + f"</section><div{' hidden' if i else ''}>Note {i}</div></body>" for i in range(3)]
+    assert "Note 0" in wrappers.main_text(mixed[0], _whole(mixed))
+
+
+def test_fixed_texts_go_at_their_place_only():
+    pages = [f"<body><div><p>Menu</p><h1>Title {i}</h1><div><p>{'Menu' if i == 1 else i}</p><p>Text {i}</p></div>{'<div class=w><p>Rare</p></div>' if i < 3 else ''}</div></body>" for i in range(5)]
+    plan = _whole([*pages, "", "<body></body>"])
+    assert wrappers.main_text(pages[1], plan) == "Title 1\n\nMenu\n\nText 1\n\nRare"
+
+
 # ---------------------------------------------------------------- 7 pieces
 
 
