@@ -13,6 +13,10 @@ once; findings, few and small, come back by blob in a join whose hot side can be
 Defined results: a null text is the empty blob, without findings; repeated rows get the
 same findings; positions count code points, ends are exclusive; invalid UTF-8 reads as
 U+FFFD. Result columns replace input columns of the same name.
+
+Scans note a private key by its BEGIN line, as their SQL does. Redaction takes the key whole:
+to the END line of the same label if no other BEGIN comes first, else over the lines of
+base64 that follow.
 """
 
 from __future__ import annotations
@@ -62,6 +66,14 @@ RULES = (
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]+", 0, 20, ("xox",)),
 )
 BASE = ("assign", "access", "hex")
+_BREAK = r"(?:\s|\\[rn])"  # line ends may be escaped
+_KEY = (
+    r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY-----"
+    rf"|(?:{_BREAK}*(?:Proc-Type|DEK-Info):[^\r\n\\]*)*"
+    rf"(?:{_BREAK}*+[A-Za-z0-9+/]{{40,}}+={{0,2}}|{_BREAK}++[A-Za-z0-9+/]++={{0,2}}(?=[ \t]*(?:[\r\n]|\\[rn]|\Z)))*+)"
+)
+#: The rules of redaction, which hides keys with their bodies.
+WHOLE = tuple(Rule("pem", 2, _KEY, r.group, r.least, r.hints) if r.kind == "pem" else r for r in RULES)
 _HEX_RUN = re.compile(r"[0-9a-f]{32,}")
 
 
@@ -144,7 +156,7 @@ def scan(docs: DataFrame, ledger: Ledger, space: Workspace, id_col: str = "doc_i
 def redact(docs: DataFrame, ledger: Ledger, space: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every finding in the text replaced by [kind]; texts without one stay as they are."""
     names = docs.columns
-    found = scan(docs, ledger, space, id_col, text_col)
+    found = scan(docs, ledger, space, id_col, text_col, WHOLE)
     text = F.col(text_col)
     # findings come by start; one that begins inside another is covered by it
     joined = F.aggregate(

@@ -240,6 +240,30 @@ def test_redaction_keeps_the_rest(spark):
     space.release()
 
 
+def test_redaction_hides_whole_keys(spark):
+    space = Workspace(spark, "test-secrets")
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = "\n".join(["MIIE" + "aB3+/" * 12] * 3)
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    texts = {
+        f"é {begin}\n{lines}\nQw==\n{end} after": "é [pem] after",
+        f"{begin}\r\n{head}> {lines}\n{end}\nmid\n{begin}\n{lines}\n{end}": "[pem]\nmid\n[pem]",
+        f'"{begin}\\n' + lines.replace("\n", "\\n") + f'\\n{end}\\n"': '"[pem]\\n"',
+        f"{begin}\n{head}{lines}\nQw==\nThe key was cut.": "[pem]\nThe key was cut.",
+        f"{begin} {lines} and more": "[pem] and more",
+        f"{begin}\n{lines}\n{begin}\n{lines}\n{end}.": "[pem]\n[pem].",
+        f"{begin}\n{lines}\n-----END EC PRIVATE KEY-----": "[pem]\n-----END EC PRIVATE KEY-----",
+        f"token={begin}\n{lines}\n{end} x": "[assign] x",
+        f"A line {begin} begins it.": "A line [pem] begins it.",
+    }
+    docs = _docs(spark, list(texts))
+    ledger = secrets.Ledger(spark, space.subdir("l"))
+    secrets.scan(docs, ledger, space).collect()  # what scans noted of keys isn't taken for whole ones
+    got = {r.doc_id: r.text for r in secrets.redact(docs, ledger, space).collect()}
+    assert got == dict(enumerate(texts.values()))
+    space.release()
+
+
 # ---------------------------------------------------------------- 9 URLs
 
 
