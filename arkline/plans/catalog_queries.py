@@ -484,7 +484,7 @@ def cdc_chunks(spark, sf_dir):
 @query(None)
 def gf_parity(spark, sf_dir):
     docs = _documents(spark, sf_dir).select("entry_idx", F.col("content").cast("binary").alias("content"))
-    return recovery.protect(docs, 5).select("entry_idx", "d", "nr", F.sha2(F.concat(*[F.coalesce(F.try_element_at("parity", F.lit(k)), F.lit(b"").cast("binary")) for k in range(1, 4)]), 256).alias("parity_sha256"))
+    return recovery.protect(docs, 5).select("entry_idx", "d", "nr", F.sha2(F.unhex(F.coalesce(F.array_join(F.transform("parity", F.hex), ""), F.lit(""))), 256).alias("parity_sha256"))
 
 
 @query("SELECT doc_id AS entry_idx, lower(to_base(crc, 16, 8)) AS crc32, coalesce(length(text), 0) AS size FROM (SELECT doc_id, text, doc_id * 2654435761 % 4294967296 AS crc FROM documents)")

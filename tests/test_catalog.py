@@ -1,8 +1,10 @@
+import hashlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from arkline.functions import masks, paths
+from arkline.functions import kernels, masks, paths
 from arkline.operators import catalog, dedup, planner
 from arkline.plans import catalog_queries as q
 
@@ -76,3 +78,16 @@ def test_affinity_order(spark, hashes, references, order):
     files = spark.createDataFrame([(i, references.get(i)) for i in range(len(hashes))], "file_idx long, reference_of long")
     chunks = spark.createDataFrame([(i, h) for i, hs in enumerate(hashes) for h in hs], "file_idx long, hash long")
     assert [r.file_idx for r in planner.affinity_order(files, chunks).orderBy("position").collect()] == order
+
+
+def test_parity_digest_covers_all_shards(spark, tmp_path):
+    texts = [None, "", "a" * 900, "".join(map(chr, range(97, 123))) * 5200]
+    spark.createDataFrame([(i, t, len(t or ""), "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.entry_idx: r for r in q.gf_parity(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        data, d = (text or "").encode(), got[i].d
+        size = -(-len(data) // d) if data else 0
+        size += size % 2
+        shards = kernels.parity([data.ljust(d * size, b"\0")[k * size : (k + 1) * size] for k in range(d)], got[i].nr) if data else []
+        assert got[i].parity_sha256 == hashlib.sha256(b"".join(shards)).hexdigest()
+    assert got[3].nr > 3
