@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arkline.functions import kernels, masks, paths
-from arkline.operators import catalog, dedup, planner
+from arkline.operators import catalog, dedup, leaderboard, planner
 from arkline.plans import catalog_queries as q
 
 
@@ -91,3 +91,13 @@ def test_parity_digest_covers_all_shards(spark, tmp_path):
         shards = kernels.parity([data.ljust(d * size, b"\0")[k * size : (k + 1) * size] for k in range(d)], got[i].nr) if data else []
         assert got[i].parity_sha256 == hashlib.sha256(b"".join(shards)).hexdigest()
     assert got[3].nr > 3
+
+
+def test_ci_duplicates_by_any_brand(spark):
+    ci = spark.createDataFrame([(f"brand {i:04}", "ci") for i in range(1500)] + [("é", "ci"), ("", "ci"), (None, "ci")], "brand string, system string")
+    brands = [f"brand {i:04}" for i in range(1500)] + ["brand 0007 plus", "brand", "été", "e", "", None]
+    community = spark.createDataFrame([(i, "own", b) for i, b in enumerate(brands)] + [(-1, "ci", ""), (-2, "own", "new"), (-2, "own", "new")], "n long, system string, brand string")
+    kept = leaderboard.without_ci_duplicates(community, ci)
+    assert kept.columns == ["brand", "system", "n"]
+    assert sorted((r.n, r.brand) for r in kept.collect() if r.brand is not None) == [(-2, "new"), (-2, "new"), (1501, "brand"), (1503, "e"), (1504, "")]
+    assert kept.where("brand IS NULL").count() == 1
