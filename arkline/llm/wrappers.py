@@ -29,6 +29,7 @@ import hashlib
 import html as _html
 import json
 import re
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -41,7 +42,7 @@ from .workspace import Workspace
 
 PERIOD = 4
 MOST_PARTS = 40
-DEEPEST = 150  # elements nested deeper become siblings
+DEEPEST = 150  # in a wrapper, elements nested deeper become siblings
 HOSTS_HELD = 2000
 FIXED_PAGES = 3
 LONGEST_FIXED = 200
@@ -60,7 +61,9 @@ DROPPED = _words("head nav header footer aside form script style noscript templa
 NOISE = _words("ad ads adv advert advertisement advertising adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations sidebar sidebars rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments commentlist disqus respond reply replies skip hidden login search")
 CONTENT = _words("article content post entry story main body text")
 NOISY_ROLES = _words("navigation banner contentinfo complementary search form dialog alert menu menubar")
+#: Which open elements a tag ends.
 CLOSES = {"p": _words("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure"), "li": _words("li"), "dt": _words("dt dd"), "dd": _words("dt dd"), "tr": _words("tr tbody tfoot thead"), "td": _words("td th tr"), "th": _words("td th tr"), "option": _words("option")}
+_ENDS = {tag: [k for k, tags in CLOSES.items() if tag in tags] for tag in frozenset().union(*CLOSES.values())}
 
 
 class Element:
@@ -95,6 +98,13 @@ def parse(html: str) -> Element:
     root = Element("", "", False)
     stack, at, n = [root], 0, len(html)
     labels: dict = {}
+    opened: Counter = Counter()
+
+    def close(k):
+        for e in stack[k:]:
+            opened[e.tag] -= 1
+        del stack[k:]
+
     while at < n:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -111,13 +121,10 @@ def parse(html: str) -> Element:
             continue
         tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-            else:
-                if tag == "p":
-                    stack[-1].kids.append(Element("p", "p", False))
+            if opened[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
+            elif tag == "p":
+                stack[-1].kids.append(Element("p", "p", False))
             continue
         if tag in RAW and not attributes.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\s*>|\Z", re.I).search(html, at)
@@ -134,17 +141,18 @@ def parse(html: str) -> Element:
             named = labels[key] = _named(tag, attributes)
         if tag in INLINE and not named[1]:
             continue
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in _ENDS.get(tag, ())) else ():
             open_tag = stack[k].tag
             if tag in CLOSES.get(open_tag, ()):
-                del stack[k:]
+                close(k)
                 break
             if open_tag not in CLOSES and open_tag not in INLINE:
                 break
         element = Element(tag, *named)
         stack[-1].kids.append(element)
-        if not attributes.endswith("/") and len(stack) < DEEPEST:
+        if not attributes.endswith("/"):
             stack.append(element)
+            opened[tag] += 1
     return root
 
 
@@ -164,7 +172,7 @@ def _digest(*texts: str) -> str:
 def wrapper_of(root: Element) -> list:
     """The wrapper of one page, folded; without parts if the page has no text but noise."""
     texts: list[str] = []
-    whole = _wrapper_of(root, texts, root.noise)
+    whole = _wrapper_of(root, texts, root.noise, 1)
     if texts:
         whole[SAME] = [_digest(*texts)]
     else:
@@ -172,8 +180,17 @@ def wrapper_of(root: Element) -> list:
     return whole
 
 
-def _wrapper_of(element: Element, texts: list[str], noise: bool) -> list:
+def _wrapper_of(element: Element, texts: list[str], noise: bool, depth: int) -> list:
     """The wrapper of an element; its texts outside noise are added to texts."""
+    parts = _parts(element, texts, noise, depth)
+    if depth == DEEPEST:
+        for below, hidden in _below(element):
+            parts.append([below.label, False, False, None, fold(_parts(below, texts, noise or hidden, None)), hidden, 1, 0, None])
+    return [element.label, False, False, None, fold(parts), element.noise, 1, 0, None]
+
+
+def _parts(element: Element, texts: list[str], noise: bool, depth: int | None) -> list:
+    """Slots for the element's own texts and, above DEEPEST, the wrappers of its elements."""
     parts, text = [], []
 
     def flush():
@@ -190,9 +207,10 @@ def _wrapper_of(element: Element, texts: list[str], noise: bool) -> list:
             text.append(kid)
         elif kid.tag not in RAW:
             flush()
-            parts.append(_wrapper_of(kid, texts, noise or kid.noise))
+            if depth is not None and depth < DEEPEST:
+                parts.append(_wrapper_of(kid, texts, noise or kid.noise, depth + 1))
     flush()
-    return [element.label, False, False, None, fold(parts), element.noise, 1, 0, None]
+    return parts
 
 
 def _shape(part: list) -> str:
@@ -372,43 +390,64 @@ def _holders(element: Element, path, depth=0):
     if depth == len(path):
         yield element
         return
+    if depth == DEEPEST - 1:  # the outermost below, as the wrapper has them as siblings
+        stack = [element]
+        while stack:
+            kid = stack.pop()
+            if kid is not element and kid.label == path[depth]:
+                yield kid
+            else:
+                stack += [k for k in reversed(kid.kids) if not isinstance(k, str)]
+        return
     for kid in element.kids:
         if not isinstance(kid, str) and kid.label == path[depth]:
             yield from _holders(kid, path, depth + 1)
 
 
 def _blocks(element: Element, out: list[tuple], inside: bool, path: tuple[str, ...]) -> None:
-    """Adds (labels down to it, text) of each block."""
+    """Adds (labels down to it, text) of each block; labels end below DEEPEST, where no text is fixed."""
     text: list[str] = []
 
-    def flush():
+    def flush(path):
         value = _clean("".join(text))
         text.clear()
         if value:
             out.append((path, value))
 
-    for kid in element.kids:
-        if isinstance(kid, str):
-            text.append(kid)
-        elif kid.noise:
-            if kid.tag == "header" and inside and any(not isinstance(k, str) and k.tag == "h1" for k in _below(kid)):
-                flush()
-                _blocks(kid, out, inside, (*path, kid.label))
-            elif kid.tag not in INLINE and kid.tag not in UNSEEN:
-                flush()
-        elif element.tag == "tr" and kid.tag in CELLS and all(isinstance(k, str) for k in kid.kids):
-            text += [" ", *kid.kids, " "]
+    stack = [(element, iter(element.kids), inside, path)]
+    while stack:
+        element, kids, inside, path = stack[-1]
+        for kid in kids:
+            if isinstance(kid, str):
+                text.append(kid)
+                continue
+            if kid.noise:
+                heading = kid.tag == "header" and inside and any(k.tag == "h1" for k, _ in _below(kid))
+                if heading or kid.tag not in INLINE and kid.tag not in UNSEEN:
+                    flush(path)
+                if not heading:
+                    continue
+            elif element.tag == "tr" and kid.tag in CELLS and all(isinstance(k, str) for k in kid.kids):
+                text += [" ", *kid.kids, " "]
+                continue
+            else:
+                flush(path)
+            below = (*path, kid.label) if path is not None and len(path) < DEEPEST else None
+            stack.append((kid, iter(kid.kids), inside or kid.tag == "article", below))
+            break
         else:
-            flush()
-            _blocks(kid, out, inside or kid.tag == "article", (*path, kid.label))
-    flush()
+            flush(path)
+            stack.pop()
 
 
 def _below(element: Element):
-    for kid in element.kids:
-        if not isinstance(kid, str):
-            yield kid
-            yield from _below(kid)
+    """(element, whether it or one around it is noise) of all elements below, in order."""
+    stack = [(element, False)]
+    while stack:
+        at, noise = stack.pop()
+        if at is not element:
+            yield at, noise
+        stack += [(k, noise or k.noise) for k in reversed(at.kids) if not isinstance(k, str)]
 
 
 def main_text(html: str, plan: dict | None) -> str:

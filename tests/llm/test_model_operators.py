@@ -151,6 +151,23 @@ def test_fixed_texts_go_at_their_place_only():
     assert wrappers.main_text(pages[1], plan) == "Title 1\n\nMenu\n\nText 1\n\nRare"
 
 
+def test_deep_nests_keep_their_ends():
+    nest = lambda n, inner: "<div>" * n + inner + "</div>" * n
+    html = f"<body><div class=x><article><p>a</p>{nest(400, 'deep <p>in</p> after<ul class=menu><li>no</ul>')}<p>last</p></article></div><p>out</p>"
+    assert wrappers.main_text(html, None) == "a\n\ndeep\n\nin\n\nafter\n\nlast"
+    html = f"<body><p>menu</p>{nest(300, '<article><header><h1>h</h1></header><article>x</article>y</article><p>no</p>')}"
+    assert wrappers.main_text(html, None) == "h\n\nx\n\ny"
+    for n in range(wrappers.DEEPEST - 5, wrappers.DEEPEST + 5):
+        pages = [nest(n, f"<p>Same</p><div class=a><p>{i}</p></div><p>Own {i}</p><div class=b>z</div>") for i in range(4)]
+        own = wrappers.main_text(pages[3], None)
+        assert own == "Same\n\n3\n\nOwn 3\n\nz"
+        got = wrappers.main_text(pages[3], _whole(pages)).split("\n\n")
+        assert [x for x in got if x not in ("Same", "z")] == ["3", "Own 3"]
+        article = [nest(n, f"<p>no</p><article><p>{i}</p><div><p>Same</p></div></article>") for i in range(4)]
+        assert wrappers.main_text(article[3], _whole(article)) == "3\n\nSame"
+    assert wrappers.main_text("<div>" * 60_000 + "end" + "</p>" * 60_000, None) == "end"
+
+
 # ---------------------------------------------------------------- 7 pieces
 
 
