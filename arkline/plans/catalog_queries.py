@@ -39,6 +39,10 @@ def _documents(spark, sf_dir):
 _NEW_DOCS = "doc_id % 13 <> 5"
 
 
+def _sanitised(pages):
+    return pages.select(F.col("page_id").alias("entry_idx"), paths.sanitised(F.concat(F.lit("C:/../"), F.regexp_replace("url", "^[^:]*://", ""), F.lit("/"))).alias("path"))
+
+
 @query(
     """
 WITH e AS (SELECT doc_id, source || '/' || doc_id AS path, n_chars, lang FROM documents),
@@ -446,8 +450,13 @@ def path_problems(spark, sf_dir):
 
 @query("SELECT page_id AS entry_idx, regexp_replace(regexp_replace(regexp_replace(split_part(url, '://', 2), '[?:*|<>\"]', '_', 'g'), '/+', '/', 'g'), '[./ ]+$', '') AS path FROM pages WHERE NOT regexp_matches(url, '[. ]/|/[. ]')")
 def sanitised_paths(spark, sf_dir):
-    pages = _read(spark, sf_dir, "pages").where(~F.col("url").rlike(r"[. ]/|/[. ]"))
-    return pages.select(F.col("page_id").alias("entry_idx"), paths.sanitised(F.concat(F.lit("C:/../"), F.regexp_replace("url", "^[^:]*://", ""), F.lit("/"))).alias("path"))
+    return _sanitised(_read(spark, sf_dir, "pages").where(~F.col("url").rlike(r"[. ]/|/[. ]")))
+
+
+@query(None)
+def sanitised_all_paths(spark, sf_dir):
+    """Also the paths that the SQL of sanitised_paths leaves out."""
+    return _sanitised(_read(spark, sf_dir, "pages"))
 
 
 @query("SELECT c_custkey AS id, regexp_extract(c_name, '^(.*?)[0-9]+$', 1) || lpad((c_custkey + 1)::VARCHAR, greatest(len(regexp_extract(c_name, '([0-9]+)$', 1)), len((c_custkey + 1)::VARCHAR))::INT, '0') || '.rar' AS next, regexp_extract(c_name, '^(.*?)[0-9]+$', 1) || lpad('1', len(regexp_extract(c_name, '([0-9]+)$', 1))::INT, '0') || '.rar' AS first FROM customer")

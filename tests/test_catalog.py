@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 
 import duckdb
 import pytest
@@ -101,3 +103,23 @@ def test_ci_duplicates_by_any_brand(spark):
     assert kept.columns == ["brand", "system", "n"]
     assert sorted((r.n, r.brand) for r in kept.collect() if r.brand is not None) == [(-2, "new"), (-2, "new"), (1501, "brand"), (1503, "e"), (1504, "")]
     assert kept.where("brand IS NULL").count() == 1
+
+
+def _plain_sanitised(path):
+    done = []
+    for part in re.sub("^/+", "", re.sub("^[A-Za-z]:", "", path.replace("\\", "/"))).split("/"):
+        if part == "..":
+            done = done[:-1]
+        elif part not in ("", "."):
+            clean = re.sub(r"[. ]+$", "", re.sub(r'[\x00-\x1f<>"|?*:]', "_", part))
+            reserved = re.sub(r"[. ]+$", "", clean.split(".")[0]).lower() in paths.RESERVED
+            done.append("_" if not clean else "_" * reserved + clean)
+    return "/".join(done)
+
+
+def test_all_paths_are_sanitised(spark, tmp_path):
+    rng = random.Random(9)
+    urls = [None, ""] + ["http://" + "/".join(rng.choices(["a", "b.c", ".", "..", "...", "x. ", " y", "", "con", "NUL.txt", "q?z:1", "e\\f"], k=rng.randint(1, 8))) for _ in range(400)]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.entry_idx: r.path for r in q.sanitised_all_paths(spark, str(tmp_path)).collect()}
+    assert got == {i: None if u is None else _plain_sanitised("C:/../" + re.sub("^[^:]*://", "", u) + "/") for i, u in enumerate(urls)}
