@@ -17,7 +17,7 @@ passage that many texts share opens no region while a text has other shingles. T
 found by counting all windows, level by level; any order is exact, so the number of these
 shingles can be bounded.
 
-Recursion. A region's leader, its first set by name, is a pivot document: every set is
+One pairwise round, in place of a recursion. A region's leader, its first set by name, is a pivot document: every set is
 compared with its regions' leaders, and sets within EPS of one join its component. A region
 that still holds several components is joined again by pairs of sets in different
 components whose sizes and places in the order leave room for the overlap. Pairs inside a component are
