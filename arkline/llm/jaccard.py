@@ -1,27 +1,32 @@
 """Exact n-gram Jaccard join in the metric space of shingle sets.
 
-Pivots are single shingles: of all pivots, a set is nearest to those it holds (distance
-1 - 1/|x|, all others are at 1), and a fixed order of the shingles breaks these ties, so a
-set's home is the Voronoi region of its first shingle. Document pivots don't serve at the
-top: nearly all pairs of texts are at distance 1, every window then stays open and every
-text would be copied to every region.
-
-Window. Sets x, y within distance EPS = 1/5 have at least 4/5 |x| shingles in common, so
-by the triangle inequality for symmetric differences, below the first common pivot x has
-at most |x|/5 shingles. x is therefore copied to the regions of its first |x|/5 + 1
-shingles and to no others, and every linked pair meets in the region of its first common
-shingle.
-
-Order. By hash, but shingles that more than HOT sets have in their windows come last, so a
-passage that many texts share opens no region while a text has other shingles. They are
-found by counting all windows, level by level; any order is exact, so the number of these
-shingles can be bounded.
-
-One pairwise round, in place of a recursion. A region's leader, its first set by name, is a pivot document: every set is
-compared with its regions' leaders, and sets within EPS of one join its component. A region
-that still holds several components is joined again by pairs of sets in different
-components whose sizes and places in the order leave room for the overlap. Pairs inside a component are
-never made, so a group of n copies costs about n comparisons for each of a few leaders.
+Distance is 1 - Jaccard similarity, a metric; sets within EPS = 1/5 link, and results are the
+components of the links.
+
+Pivots. A shingle that many sets have in their windows (below) is a crowded spot; the set
+that is shared most there is a document pivot. Every set's distance to the pivots is
+measured in place, on whole sets: pivots are few and broadcast with an index in which each
+files its rarest 2/5 of shingles, one of which every set within 2 EPS holds.
+
+Voronoi regions. A set within EPS of a pivot belongs to the region of the nearest one and
+links with it; pivots that share such a set are one component. By the triangle inequality
+whatever links with a set x of p's region lies in the window d(p, .) <= d(p, x) + EPS, so if all
+sets there are of p's component, x is closed: no other link of x can matter, and it takes no
+further part. The rest, boundary sets and those far from all pivots, are joined recursively:
+their own crowded spots yield further pivots, level by level, until none are found or LEVELS
+are done.
+
+Distance 1. Most texts share no shingle, so no document pivot is nearer to them than any other and
+a window of EPS around distance 1 holds everything. Sets that are far from all pivots are
+therefore divided by single shingles, in a fixed order: linked sets have at least 4/5 of their
+shingles in common, so below the first common one a set x has at most |x|/5, and x is copied
+to the regions of its first |x|/5 + 1 shingles, its window, and to no others. The order is by
+hash, but crowded shingles come last, the most crowded at the end; any order is exact.
+
+Small regions. A region's most shared set leads it: all others are measured against the leader.
+Sets of a region that are still in different components are compared in pairs, where their
+sizes and places in the order leave room for the overlap. Pairs inside a component are never
+made.
 
 Comparisons. Exact copies are one set. Counts of shingles in BINS bins are at most as far
 apart (in the sum of differences) as the sets, which drops most pairs; the others are
@@ -31,8 +36,8 @@ Shingles and sets are 64-bit and 128-bit hashes.
 
 Defined results: a null, empty or wordless text has no shingles, links with nothing and is
 a component of its own; fewer than five words are one shingle; rows with equal ids count
-each; a null id is no component's smallest unless all are null. Other columns are carried.
-Result columns replace input columns of the same name.
+each; a null id is no component's smallest unless all are null; invalid UTF-8 counts as word
+bytes. Other columns are carried. Result columns replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -52,10 +57,16 @@ WORDS = 5
 HOT = 64
 LEVELS = 2
 MAX_HOT = 200_000
+PIVOTS = 512  # of each level
+PIVOT_SIZE = 4096  # shingles of a pivot at most; with PIVOTS and LEVELS a bound of what is broadcast
 SPLIT = 20_000
 BINS = 128
-FILTER_BITS = 1 << 23
+FLUSH = 1 << 17
 _U = np.uint64
+_NO_LEAD = np.iinfo(np.int64).max
+_KEY_BITS = 48
+#: Odd multipliers that keep the words of a shingle in order.
+_MIXERS = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | _U(1)
 
 
 def shingle_sets(column: pa.Array):
@@ -64,20 +75,21 @@ def shingle_sets(column: pa.Array):
         h, first = words.hashes, words.first
         full = np.zeros(0, np.uint64)
         if len(h) >= WORDS:
-            full = h[: len(h) - WORDS + 1].copy()
+            span = len(h) - WORDS + 1
+            full = h[:span] * _MIXERS[0]
             for k in range(1, WORDS):
-                full = mix(full) + h[k : len(h) - WORDS + 1 + k]
+                full += h[k : k + span] * _MIXERS[k]
             full = mix(full)
         for d in range(j - i):
             a, b = int(first[d]), int(first[d + 1])
             if b - a >= WORDS:
                 own = np.sort(full[a : b - WORDS + 1])
-                yield own[np.concatenate([[True], own[1:] != own[:-1]])]
+                fresh = np.empty(len(own), bool)
+                fresh[0] = True
+                np.not_equal(own[1:], own[:-1], out=fresh[1:])
+                yield own if fresh.all() else own[fresh]
             elif b > a:
-                value = np.array([b - a], np.uint64)
-                for k in range(a, b):
-                    value = mix(value) + h[k]
-                yield mix(value + _U(b - a))
+                yield mix(np.array([(h[a:b] * _MIXERS[: b - a]).sum() + _U(b - a)], np.uint64))
             else:
                 yield full[:0]
 
@@ -92,28 +104,79 @@ def _in_sorted(s: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, s), len(table) - 1)] == s
 
 
-def in_order(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """s with its hot shingles last; hot is sorted."""
-    is_hot = _in_sorted(s, hot)
-    return np.concatenate([s[~is_hot], s[is_hot]]) if is_hot.any() else s
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sets have in common."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.count_nonzero(_in_sorted(x, y)))
 
 
 def window(s: np.ndarray) -> int:
     return len(s) // 5 + 1 if len(s) else 0
 
 
-def _names(names: list[bytes], times: list[int]) -> pa.Array:
-    """Each 16-byte name so many times, as a binary column."""
-    flat = np.frombuffer(b"".join(names), np.uint8).reshape(-1, 16) if names else np.zeros((0, 16), np.uint8)
-    rows = np.repeat(flat, times, axis=0)
-    offsets = np.arange(0, 16 * len(rows) + 1, 16, dtype=np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+class Order:
+    """The order of shingles: crowded ones (values, sorted; counts) last, the most crowded at the end."""
+
+    def __init__(self, values: np.ndarray, counts: np.ndarray):
+        by_value = np.argsort(values)
+        self.values, self.counts = values[by_value], counts[by_value]
+        self.rank = np.empty(len(values), np.int64)
+        self.rank[np.lexsort((self.values, self.counts))] = np.arange(len(values))
+
+    def window(self, s: np.ndarray) -> np.ndarray:
+        crowded = _in_sorted(s, self.values)
+        if not crowded.any():
+            return s[: window(s)]
+        last = s[crowded]
+        return np.concatenate([s[~crowded], last[np.argsort(self.rank[np.searchsorted(self.values, last)])]])[: window(s)]
+
+
+class Pivots:
+    """Document pivots. group: the component of each among the pivots; reach: sets nearer than
+    that to it are all of its component."""
+
+    def __init__(self, names: list[bytes], sets: list[np.ndarray]):
+        self.names, self.sets = names, sets
+        self.group, self.reach = np.arange(len(names)), np.zeros(len(names))
+        every, held = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        filed = [s[np.argsort(held[np.searchsorted(every, s)], kind="stable")[: 2 * len(s) // 5 + 1]] for s in sets]
+        flat = np.concatenate(filed) if filed else every
+        owners = np.repeat(np.arange(len(sets)), [len(f) for f in filed])
+        order = np.argsort(flat, kind="stable")
+        self.values, first = np.unique(flat[order], return_index=True)
+        self.first, self.owners = np.append(first, len(flat)), owners[order]
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(self.values >> _U(42)).astype(np.int64)] = True
+
+    def near(self, s: np.ndarray) -> list[tuple[int, int, int]]:
+        """(pivot, size of the intersection, of the union) for the pivots within 2 EPS."""
+        maybe = s[self.bits[(s >> _U(42)).astype(np.int64)]]
+        if not len(maybe):
+            return []
+        at = np.minimum(np.searchsorted(self.values, maybe), len(self.values) - 1)
+        at = at[self.values[at] == maybe]
+        if not len(at):
+            return []
+        out = []
+        for k in np.unique(np.concatenate([self.owners[self.first[a] : self.first[a + 1]] for a in at])).tolist():
+            p = self.sets[k]
+            if 5 * min(len(p), len(s)) >= 3 * max(len(p), len(s)):
+                common = shared(s, p)
+                either = len(s) + len(p) - common
+                if 5 * common >= 3 * either:
+                    out.append((k, common, either))
+        return out
+
+    def closed(self, s: np.ndarray) -> bool:
+        """Whether all that links with s is of its component."""
+        return any(100 * i >= 80 * u and 1 - i / u + 0.2 + 1e-9 < self.reach[k] for k, i, u in self.near(s))
 
 
 class _Seen:
     """Names met in this task; forgets all when full, which costs repeated rows only."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         self.names, self.most = set(), most
 
     def new(self, name: bytes) -> bool:
@@ -139,122 +202,225 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _window_counts(texts: DataFrame, hot, older) -> DataFrame:
-    """How many sets have a shingle in their window, for shingles in more than HOT windows.
-    With older (the hot shingles of the level before), only in windows that have changed since,
-    and what entered them (or could)."""
+# ---------------------------------------------------------------- document pivots
+
+
+def _open_sets(batches, pivots: Pivots | None):
+    """(key, name, set) of the sets that aren't closed, each once a task as far as remembered."""
+    seen = _Seen()
+    for batch in batches:
+        keys = batch["_ark_key"].to_numpy()
+        for key, s in zip(keys, shingle_sets(batch["_ark_text"]), strict=True):
+            if len(s) and seen.new(name := set_name(s)) and not (pivots is not None and pivots.closed(s)):
+                yield int(key), name, s
+
+
+def _crowding(texts: DataFrame, order: Order, older: Order | None, pivots: Pivots | None) -> DataFrame:
+    """pivot, n, lead: shingles that more than HOT sets have in their windows, and for those that
+    became crowded with ``order`` the key of the set that is shared most there. With older (the
+    order before) only windows that have changed since are counted, and what entered them."""
+    sc = texts.sparkSession.sparkContext
+    told = sc.broadcast((order, older, pivots))
+
+    def rows(pivot, n, lead):
+        return pa.RecordBatch.from_arrays([pa.array(pivot.view(np.int64)), pa.array(n), pa.array(lead)], names=["pivot", "n", "lead"])
 
     def run(batches):
-        seen = _Seen()
-        for batch in batches:
-            out = []
-            for s in shingle_sets(batch.column(0)):
-                if not len(s) or not seen.new(set_name(s)):
+        order, older, pivots = told.value
+        leads = np.full(len(order.values), _NO_LEAD, np.int64)
+        out, held = [], 0
+
+        def flushed():
+            flat = np.concatenate(out)
+            return rows(flat, np.ones(len(flat), np.int64), np.full(len(flat), _NO_LEAD))
+
+        for key, _, s in _open_sets(batches, pivots):
+            if older is None:
+                now = order.window(s)
+            else:
+                then = older.window(s)
+                crowded = then[_in_sorted(then, order.values)]
+                newly = crowded[~_in_sorted(crowded, older.values)]
+                if not len(newly):
                     continue
-                now = in_order(s, hot.value)[: window(s)]
-                if older is not None:
-                    then = in_order(s, older.value)[: window(s)]
-                    changed = np.count_nonzero(_in_sorted(then, hot.value)) - np.count_nonzero(_in_sorted(then, older.value))
-                    if not changed:
-                        continue
-                    # a text that is mostly shared gets all its shingles counted at once, for each
-                    # level would only move its window on to further shared ones
-                    now = np.setdiff1d(s if 4 * changed >= len(then) else now, then, assume_unique=True)
-                out.append(now)
-            flat = np.concatenate(out) if out else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["pivot"])
-
-    return texts.mapInArrow(run, "pivot long").groupBy("pivot").count().where(F.col("count") > HOT)
-
-
-def hot_shingles(texts: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
-    """Shingles that stand last in the order (sorted), and of those in more than SPLIT windows the count."""
-    sc = texts.sparkSession.sparkContext
-    hot, large, older = np.zeros(0, np.uint64), {}, None
-    for _ in range(LEVELS):
-        counts = _window_counts(texts, sc.broadcast(hot), None if older is None else sc.broadcast(older))
-        got = counts.orderBy(F.desc("count"), "pivot").limit(MAX_HOT - len(hot)).toArrow() if len(hot) < MAX_HOT else None
+                own = 32767 - 32767 * len(crowded) // len(then)
+                at = np.searchsorted(order.values, newly)
+                leads[at] = np.minimum(leads[at], (own << _KEY_BITS) | (key & ((1 << _KEY_BITS) - 1)))
+                # a text that is mostly shared gets all its shingles counted at once, for each
+                # level would only move its window on to further shared ones
+                now = np.setdiff1d(s if 4 * len(newly) >= len(then) else order.window(s), then, assume_unique=True)
+            out.append(now)
+            held += len(now)
+            if held > FLUSH:
+                yield flushed()
+                out, held = [], 0
+        if out:
+            yield flushed()
+        found = np.flatnonzero(leads != _NO_LEAD)
+        yield rows(order.values[found], np.zeros(len(found), np.int64), leads[found])
+
+    counted = texts.mapInArrow(run, "pivot long, n long, lead long").groupBy("pivot").agg(F.sum("n").alias("n"), F.min("lead").alias("lead"))
+    return counted.where((F.col("n") > HOT) | (F.col("lead") < _NO_LEAD))
+
+
+def _fetched(texts: DataFrame, keys: list[int]) -> list[tuple[bytes, np.ndarray]]:
+    """Names and sets of the texts with these keys, but for very long ones: PIVOTS x PIVOT_SIZE values."""
+
+    def run(batches):
+        for batch in batches:
+            found = [(set_name(s), s.tobytes()) for s in shingle_sets(batch["_ark_text"]) if 0 < len(s) <= PIVOT_SIZE]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["name", "values"])
+
+    some = texts.where((F.col("_ark_key").bitwiseAND(F.lit((1 << _KEY_BITS) - 1))).isin(keys))
+    got = some.mapInArrow(run, "name binary, values binary").groupBy("name").agg(F.first("values").alias("values")).limit(PIVOTS)
+    return [(bytes(r[0]), np.frombuffer(bytes(r[1]), np.uint64)) for r in got.collect()]
+
+
+def _measured(texts: DataFrame, pivots: Pivots) -> DataFrame:
+    """set, pivot, home, linked, apart: the distances up to 2 EPS; home is the nearest pivot within EPS, or -1."""
+    told = texts.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches):
+        pivots, out = told.value, []
+
+        def flushed():
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.float64()), strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=["set", "pivot", "home", "linked", "apart"])
+
+        for _, name, s in _open_sets(batches, pivots):
+            near = pivots.near(s)
+            inner = [(1 - i / u, k) for k, i, u in near if 100 * i >= 80 * u]
+            home = min(inner)[1] if inner else -1
+            out += [(name, k, home, 100 * i >= 80 * u, 1 - i / u) for k, i, u in near]
+            if len(out) > 20_000:
+                yield flushed()
+                out = []
+        if out:
+            yield flushed()
+
+    return texts.mapInArrow(run, "set binary, pivot int, home int, linked boolean, apart double")
+
+
+def _settle(pivots: Pivots, near: DataFrame) -> None:
+    """Groups and reaches of the pivots; at most PIVOTS x LEVELS of either and their pairs come to the driver."""
+    group = pivots.group
+    for a, b in near.where("linked AND pivot <> home").select("pivot", "home").distinct().collect():
+        group[group == group[a]] = group[b]
+    spark = near.sparkSession
+    own = F.broadcast(spark.createDataFrame([(i, int(g)) for i, g in enumerate(group)], "_p int, _own int"))
+    other = F.broadcast(spark.createDataFrame([(i, int(g)) for i, g in enumerate(group)], "_h int, _other int"))
+    met = near.join(own, F.col("pivot") == F.col("_p")).join(other, F.col("home") == F.col("_h"), "left")
+    pivots.reach = np.full(len(group), 0.4 + 1e-6)
+    for k, apart in met.where("_other IS NULL OR _other <> _own").groupBy("pivot").agg(F.min("apart")).collect():
+        pivots.reach[k] = apart
+
+
+def divided(texts: DataFrame, space: Workspace) -> tuple[Order, dict[int, int], Pivots | None, list[DataFrame]]:
+    """The order, the shingles in more than SPLIT windows with their counts, the pivots, and links (a, b) with pivots."""
+    spark = texts.sparkSession
+    order, older, pivots, links, large = Order(np.zeros(0, np.uint64), np.zeros(0, np.int64)), None, None, [], {}
+    for level in range(LEVELS + 1):
+        counts = space.table(_crowding(texts, order, older, pivots))
+        leads = counts.where(F.col("lead") < _NO_LEAD).select(F.col("lead").bitwiseAND(F.lit((1 << _KEY_BITS) - 1)).alias("k"))
+        keys = [r[0] for r in leads.groupBy("k").count().orderBy(F.desc("count"), "k").limit(PIVOTS).collect()]
+        known = set() if pivots is None else set(pivots.names)
+        fresh = [x for x in _fetched(texts, keys) if x[0] not in known] if keys else []
+        if fresh:
+            before = pivots
+            pivots = Pivots([*(before.names if before else []), *(x[0] for x in fresh)], [*(before.sets if before else []), *(x[1] for x in fresh)])
+            if before:
+                pivots.group[: len(before.names)], pivots.reach[: len(before.names)] = before.group, before.reach
+            near = space.table(_measured(texts, pivots))
+            _settle(pivots, near)
+            names = F.broadcast(spark.createDataFrame([(i, bytearray(n)) for i, n in enumerate(pivots.names)], "_p int, a binary"))
+            links.append(near.where("linked").join(names, F.col("pivot") == F.col("_p")).select("a", F.col("set").alias("b")))
+        room = MAX_HOT - len(order.values)
+        got = counts.where(F.col("n") > HOT).orderBy(F.desc("n"), "pivot").limit(room).select("pivot", "n").toArrow() if room else None
         if got is None or not got.num_rows:
             break
-        found, n = got["pivot"].to_numpy().view(np.uint64), got["count"].to_numpy()
+        found, n = got["pivot"].to_numpy().view(np.uint64), got["n"].to_numpy()
         large |= {int(p): int(c) for p, c in zip(found[n > SPLIT], n[n > SPLIT], strict=True)}
-        if np.isin(found, hot).all():
+        new = ~_in_sorted(found, order.values)
+        if not new.any():
             break
-        hot, older = np.union1d(hot, found), hot
-    return hot, large
+        older, order = order, Order(np.concatenate([order.values, found[new]]), np.concatenate([order.counts, n[new]]))
+    return order, large, pivots, links
+
+
+# ---------------------------------------------------------------- regions of shingles
 
 
-def _regions(texts: DataFrame, hot: np.ndarray, large: dict[int, int]) -> DataFrame:
+def _regions(texts: DataFrame, order: Order, large: dict[int, int], pivots: Pivots | None) -> DataFrame:
     """pivot, leader, set, size, place (of the pivot in the set's order): every set of a region with several."""
-    sc = texts.sparkSession.sparkContext
-    hot, large = sc.broadcast(hot), sc.broadcast({p: -(-c // SPLIT) for p, c in large.items()})
+    told = texts.sparkSession.sparkContext.broadcast((order, {p: -(-c // SPLIT) for p, c in large.items()}, pivots))
+    names = ["pivot", "part", "s0", "s1", "size", "place"]
 
     def emit(batches):
-        seen = _Seen()
-        for batch in batches:
-            pivots, names, sizes, times, parts = [], [], [], [], []
-            for s in shingle_sets(batch.column(0)):
-                if not len(s) or not seen.new(name := set_name(s)):
-                    continue
-                own = in_order(s, hot.value)[: window(s)]
-                pivots.append(own)
-                names.append(name)
-                sizes.append(len(s))
-                times.append(len(own))
-                part = np.zeros(len(own), np.int32)
-                if large.value:
-                    salt = int.from_bytes(name[:4], "little")
-                    part[:] = [salt % large.value.get(int(p), 1) for p in own]
-                parts.append(part)
-            flat = np.concatenate(pivots) if pivots else np.zeros(0, np.uint64)
-            place = np.concatenate([np.arange(t) for t in times]) if times else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat.view(np.int64)), pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.int32()), _names(names, times), pa.array(np.repeat(np.array(sizes, np.int32), times)), pa.array(place.astype(np.int32))],
-                names=["pivot", "part", "set", "size", "place"],
-            )
-
-    rows = texts.mapInArrow(emit, "pivot long, part int, set binary, size int, place int")
-    rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "set")
+        order, parts, pivots = told.value
+        out, held = [], 0
+
+        def flushed():
+            times = [len(own) for own, _, _, _ in out]
+            flat = np.concatenate([own for own, _, _, _ in out])
+            sets = np.repeat(np.frombuffer(b"".join(name for _, _, name, _ in out), np.int64).reshape(-1, 2), times, axis=0)
+            columns = (flat.view(np.int64), np.concatenate([part for _, part, _, _ in out]), np.ascontiguousarray(sets[:, 0]), np.ascontiguousarray(sets[:, 1]), np.repeat(np.array([n for _, _, _, n in out], np.int32), times), np.concatenate([np.arange(t, dtype=np.int32) for t in times]))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+        for _, name, s in _open_sets(batches, pivots):
+            own = order.window(s)
+            part = np.zeros(len(own), np.int32)
+            if parts:
+                salt = int.from_bytes(name[:4], "little")
+                part[:] = [salt % parts.get(int(p), 1) for p in own]
+            out.append((own, part, name, len(s)))
+            held += len(own)
+            if held > FLUSH:
+                yield flushed()
+                out, held = [], 0
+        if out:
+            yield flushed()
+
+    rows = texts.mapInArrow(emit, "pivot long, part int, s0 long, s1 long, size int, place int")
+    rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("place") / F.col("size"), "s0", "s1")
 
     def lead(batches):
-        held = None  # (pivot, part, leader, its row if not yet out)
+        parted = np.array(sorted(told.value[1]), np.uint64)
+        held = None  # (pivot, part, leader, last set, the leader's row while it is alone)
+
+        def regions(pivot, leader, sets, size, place):
+            name = lambda x: pa.array([bytes(r) for r in x.view("V16").ravel()], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(pivot), name(leader), name(sets), pa.array(size), pa.array(place)], names=_REGION)
+
         for batch in batches:
-            pivot, part = batch["pivot"].to_numpy(), batch["part"].to_numpy()
+            pivot, part, size, place = (batch[c].to_numpy() for c in ("pivot", "part", "size", "place"))
             if not len(pivot):
                 continue
-            opens = np.ones(len(pivot), bool)
+            sets = np.stack([batch["s0"].to_numpy(), batch["s1"].to_numpy()], axis=1)
+            opens, copy = np.ones(len(pivot), bool), np.zeros(len(pivot), bool)
             opens[1:] = (pivot[1:] != pivot[:-1]) | (part[1:] != part[:-1])
+            copy[1:] = ~opens[1:] & (sets[1:] == sets[:-1]).all(1)
+            if held is not None and held[0] == pivot[0] and held[1] == part[0]:
+                opens[0], copy[0] = False, (held[3] == sets[0]).all()
+            pivot, part, size, place, sets, opens = (x[~copy] for x in (pivot, part, size, place, sets, opens))
+            if not len(pivot):
+                continue
             several = ~opens
             several[:-1] |= ~opens[1:]
-            if large.value:  # a divided region's sets meet those of its other parts later
-                several |= np.isin(pivot.view(np.uint64), np.array(list(large.value), np.uint64))
-            if held is not None and held[0] == pivot[0] and held[1] == part[0]:
-                opens[0] = False
-                run = int(np.flatnonzero(opens)[0]) if opens.any() else len(pivot)
-                several[:run] = True
-                if held[3] is not None:
-                    yield held[3]
-                leader_before = held[2]
-            else:
-                leader_before = None
-            last = int(np.flatnonzero(opens)[-1]) if opens.any() else None
-            keep = np.flatnonzero(several)
+            if len(parted):  # a divided region's sets meet those of its other parts later
+                several |= _in_sorted(pivot.view(np.uint64), parted)
+            before = None
+            if not opens[0]:
+                before = held[2]
+                if held[4] is not None:
+                    yield held[4]
             starts = np.maximum.accumulate(np.where(opens, np.arange(len(pivot)), -1))
-            own = batch.take(pa.array(keep))
-            at = starts[keep]
-            leaders = batch["set"].take(pa.array(np.maximum(at, 0)))
-            if leader_before is not None and (at < 0).any():
-                fixed = leaders.to_pylist()
-                leaders = pa.array([leader_before if a < 0 else x for a, x in zip(at, fixed, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([own["pivot"], leaders, own["set"], own["size"], own["place"]], names=_REGION)
-            if last is None:
-                held = (held[0], held[1], leader_before, None)
-            else:
-                name = batch["set"][last].as_py()
-                alone = batch.slice(last, 1) if last == len(pivot) - 1 and not several[last] else None
-                if alone is not None:
-                    alone = pa.RecordBatch.from_arrays([alone["pivot"], alone["set"], alone["set"], alone["size"], alone["place"]], names=_REGION)
-                held = (pivot[-1], part[-1], name, alone)
+            leaders = sets[np.maximum(starts, 0)]
+            if before is not None:
+                leaders[starts < 0] = before
+            yield regions(pivot[several], leaders[several], sets[several], size[several], place[several])
+            last = starts[-1]
+            alone = regions(pivot[-1:], sets[-1:], sets[-1:], size[-1:], place[-1:]) if last == len(pivot) - 1 and not several[-1] else None
+            held = (pivot[-1], part[-1], leaders[-1].copy(), sets[-1].copy(), alone)
 
     return rows.mapInArrow(lead, "pivot long, leader binary, set binary, size int, place int")
 
@@ -262,34 +428,40 @@ def _regions(texts: DataFrame, hot: np.ndarray, large: dict[int, int]) -> DataFr
 _REGION = ["pivot", "leader", "set", "size", "place"]
 
 
-def _bit_filter(names: DataFrame) -> np.ndarray:
-    """A bit for each hash value of the names in column set, of a fixed size whatever their number."""
-    bit = F.pmod(F.xxhash64("set"), F.lit(FILTER_BITS))
-    words = names.select((bit / 64).cast("int").alias("w"), (bit % 64).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).toArrow()
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    table[words["w"].to_numpy()] = words["bits"].to_numpy()
-    return np.unpackbits(table.view(np.uint8), bitorder="little")
+class _Bits:
+    """Bits of hash values, some for each expected name up to a bound of 8 MB; more names only let more others through."""
+
+    def __init__(self, names: DataFrame):
+        self.size = 1 << min(26, max(16, (16 * names.count()).bit_length()))
+        bit = F.pmod(F.xxhash64("set"), F.lit(self.size))
+        words = names.select((bit / 64).cast("int").alias("w"), (bit % 64).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).toArrow()
+        self.table = np.zeros(self.size // 64, np.int64)
+        self.table[words["w"].to_numpy()] = words["bits"].to_numpy()
+
+    def __contains__(self, name: bytes) -> bool:
+        at = _spark_hash(name) % self.size
+        return bool(int(self.table[at >> 6]) >> (at & 63) & 1)
 
 
 def _described(texts: DataFrame, wanted: DataFrame, what: str, space: Workspace) -> DataFrame:
     """set and ``what`` (shingles or bins) of the wanted sets. The filter keeps most others from
     moving; what it lets through besides finds no partner in the joins."""
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(_bit_filter(wanted), bitorder="little"))
+    told = texts.sparkSession.sparkContext.broadcast(_Bits(wanted))
 
     def run(batches):
-        bits, seen = np.unpackbits(shared.value, bitorder="little"), _Seen()
+        bits, seen = told.value, _Seen()
+        names, values, size = [], [], 0
         for batch in batches:
-            names, values, size = [], [], 0
-            for s in shingle_sets(batch.column(0)):
-                if not len(s) or not bits[_spark_hash(name := set_name(s)) % FILTER_BITS] or not seen.new(name):
+            for s in shingle_sets(batch["_ark_text"]):
+                if not len(s) or (name := set_name(s)) not in bits or not seen.new(name):
                     continue
                 names.append(name)
                 values.append(s.tobytes() if what == "shingles" else _bins(s))
                 size += len(values[-1])
-                if size > 1 << 24:
+                if size > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (names, values)], names=["set", what])
                     names, values, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (names, values)], names=["set", what])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (names, values)], names=["set", what])
 
     found = texts.mapInArrow(run, f"set binary, {what} binary")
     return space.table(found.dropDuplicates(["set"]))
@@ -317,27 +489,27 @@ def _compared(pairs: DataFrame, texts: DataFrame, bins: DataFrame, space: Worksp
 
     def near(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, 8 + 2 * BINS) for c in ("bins_a", "bins_b"))
-            size = sum(np.ascontiguousarray(v[:, :8]).view(np.int64)[:, 0] for v in (x, y))
-            x, y = (np.ascontiguousarray(v[:, 8:]).view(np.uint16).astype(np.int64) for v in (x, y))
-            # |x ^ y| is at least the bins' distance, and at most (|x| + |y|) / 9 where x and y link
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(9 * np.abs(x - y).sum(1) <= size))
+            for begin in range(0, batch.num_rows, 4096):
+                part = batch.slice(begin, 4096)
+                x, y = (np.frombuffer(b"".join(part[c].to_pylist()), np.uint8).reshape(-1, 8 + 2 * BINS) for c in ("bins_a", "bins_b"))
+                size = sum(np.ascontiguousarray(v[:, :8]).view(np.int64)[:, 0] for v in (x, y))
+                x, y = (np.ascontiguousarray(v[:, 8:]).view(np.uint16).astype(np.int32) for v in (x, y))
+                # |x ^ y| is at least the bins' distance, and at most (|x| + |y|) / 9 where x and y link
+                yield pa.RecordBatch.from_arrays([part["a"], part["b"]], names=["a", "b"]).filter(pa.array(9 * np.abs(x - y).sum(1) <= size))
 
     def equal(batches):
         for batch in batches:
             ok = []
             for x, y in zip(batch["shingles_a"], batch["shingles_b"], strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
+                common = shared(x, y)
                 ok.append(100 * common >= 80 * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     close = space.table(both(pairs, bins, "bins").mapInArrow(near, "a binary, b binary"))
-    space.tidy()
     sets = _described(texts, close.select(F.col("a").alias("set")).union(close.select(F.col("b").alias("set"))), "shingles", space)
     linked = space.table(both(close, sets, "shingles").mapInArrow(equal, "a binary, b binary"))
     space.drop(sets)
-    space.tidy()
     return linked
 
 
@@ -366,7 +538,7 @@ def grouped(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col:
     smallest id, first, and its component's root)."""
     rest = [docs[c] for c in docs.columns if c not in (text_col, "n_shingles", "component_id")]
     signed = space.table(_signed(docs.select(*rest, docs[id_col].alias("_ark_id"), docs[text_col].cast("binary").alias("_ark_text"))).withColumnRenamed("_ark_n", "n_shingles"))
-    texts = docs.select(docs[text_col].cast("binary").alias("_ark_text")).where("_ark_text IS NOT NULL")
+    texts = docs.select(F.xxhash64(docs[id_col]).alias("_ark_key"), docs[text_col].cast("binary").alias("_ark_text")).where("_ark_text IS NOT NULL")
     roots = set_components(texts, space)
     firsts = signed.where("_set IS NOT NULL").groupBy("_set").agg(F.min("_ark_id").alias("first"))
     return signed, space.table(firsts.join(roots, F.col("_set") == F.col("set"), "left").select("_set", "first", F.coalesce("root", "_set").alias("root")))
@@ -393,39 +565,39 @@ def one_of_each(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_
 
 
 def set_components(texts: DataFrame, space: Workspace) -> DataFrame:
-    """set and root of every shingle set that has a link; texts has one binary column."""
-    hot, large = hot_shingles(texts)
-    space.tidy()
-    regions = space.table(_regions(texts, hot, large))
-    space.tidy()
-    met = regions.where("leader <> set").groupBy("leader", "set").agg(F.count("*").alias("n"))
+    """set and root of every shingle set that has a link; texts has _ark_key, a number for the
+    text that need not be its own, and _ark_text."""
+    order, large, pivots, links = divided(texts, space)
+    regions = space.table(_regions(texts, order, large, pivots))
+    met = regions.where("leader <> set").select("leader", "set")
     if large:  # leaders of a divided region meet its first
         tops = regions.groupBy("pivot").agg(F.min("leader").alias("top"), F.max("leader").alias("end")).where("top <> end")
-        divided = regions.where("set = leader").join(tops, "pivot").where("leader <> top")
-        met = met.union(divided.groupBy(F.col("top").alias("leader"), F.col("leader").alias("set")).agg(F.count("*").alias("n")))
-    met = space.table(met)
-    wanted = met.select("set").union(met.select(F.col("leader").alias("set")))
-    bins = _described(texts, wanted, "bins", space)
-    links = _compared(met.select(F.col("leader").alias("a"), F.col("set").alias("b")), texts, bins, space)
-    roots = components(links, space)
+        parts = regions.where("set = leader").join(tops, "pivot").where("leader <> top")
+        met = met.union(parts.select(F.col("top").alias("leader"), F.col("leader").alias("set")))
+    met = space.table(met.distinct())
+    bins = _described(texts, met.select("set").union(met.select(F.col("leader").alias("set"))), "bins", space)
+    for more in links[1:]:
+        links[0] = links[0].union(more)
+    first = _compared(met.select(F.col("leader").alias("a"), F.col("set").alias("b")), texts, bins, space)
+    known = first.union(links[0]) if links else first
+    roots = components(known, space)
     rows = _open_regions(regions, roots, space)
     space.drop(regions)
     pairs = _open_pairs(rows, space)
     space.drop(rows)
-    space.tidy()
+    if pairs.isEmpty():
+        return roots
     more = _compared(pairs, texts, bins, space)
-    return roots if more.isEmpty() else components(links.union(more), space)
+    return roots if more.isEmpty() else components(known.union(more), space)
 
 
 def _open_regions(regions: DataFrame, roots: DataFrame, space: Workspace) -> DataFrame:
     """Rows, with their roots, of the regions that hold several components."""
     named = regions.join(roots.select(F.col("set").alias("_s"), F.col("root").alias("_r")), F.col("set") == F.col("_s"), "left").select("pivot", "set", "size", "place", F.coalesce("_r", "set").alias("root"))
     named = space.table(named)
-    space.tidy()
     open_ = named.groupBy("pivot").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select(F.col("pivot").alias("_open"))
     rows = space.table(named.join(open_, F.col("pivot") == F.col("_open"), "left_semi"))
     space.drop(named)
-    space.tidy()
     return rows
 
 

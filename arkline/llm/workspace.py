@@ -1,15 +1,16 @@
 """Tables that cut lineage, kept in the folder the cluster shares.
 
-The folder is the session's ``spark.checkpoint.dir``; only a session that names none
-(a local test) gets one of its own, under the warehouse. Nothing is ever written to a
-machine-local temporary folder, so a lost executor loses no table.
+The folder is the session's ``spark.checkpoint.dir``; only a local session that names none
+(a test) gets one of its own, under the warehouse, elsewhere that is an error. Nothing is ever
+written to a machine-local temporary folder, so a lost executor loses no table.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,9 +18,31 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder's URI without a trailing slash."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+#: While a table is written: its plan's shuffle files go when it is done, and Arrow batches are
+#: small, so that what Python holds of them is too.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+@contextmanager
+def _writing(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 class Workspace:
     """A folder of written tables; ``release`` deletes it, at the latest when Python ends."""
 
@@ -36,7 +59,8 @@ class Workspace:
         """Write df as Parquet and read it again; later plans start from the files."""
         self._count += 1
         target = f"{self.path}/t{self._count}"
-        df.write.parquet(target)
+        with _writing(self.spark):
+            df.write.parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
 
     def drop(self, *tables: DataFrame) -> None:
@@ -46,12 +70,6 @@ class Workspace:
                 path = self.spark._jvm.org.apache.hadoop.fs.Path(file)
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def tidy(self) -> None:
-        """Lets Spark delete the shuffle files of plans that nothing refers to any more; it
-        finds them only when both garbage collectors have run."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def release(self) -> None:
         try:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
