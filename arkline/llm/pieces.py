@@ -11,8 +11,11 @@ The search keeps back pointers for the characters since the last commit. No piec
 than ``longest`` characters, so later paths start from the last ``longest`` boundaries only;
 once the back pointers of all of these lead to one boundary, everything before it is final,
 its ids go out and the window slides. Memory is bounded by that window, not by the text.
-Where no piece spans a boundary (before a word's blank), paths meet at once; such words are
-looked up in a bounded cache before they are searched.
+Where no piece spans a boundary (before a word's blank), paths meet at once. Texts stream by
+in pieces of about SEGMENT bytes that end at such boundaries; of each piece every distinct
+word is searched, decoded and compared once, and numpy deals its ids out to all places that
+hold it (words are told apart by 64-bit hash and length). What was found is kept in caches
+of a bounded size that end with the task.
 
 Defined results: a null or empty text has no ids; characters without a piece become their
 UTF-8 bytes' pieces (byte fallback) or the unknown id, one for a run of them; invalid UTF-8
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,10 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .textkit import chunks, span_hashes, utf8_column
+
 BLANK = "▁"
-CACHE = 400_000
+#: What a task keeps at most: words, parts of pieces, judged neighbours; about 50 MB together.
+WORDS, EDGES, NEIGHBOURS = 150_000, 20_000, 150_000
 CACHED_LENGTH = 48
 CHECK_EVERY = 64
+SEGMENT = 1 << 20
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 _UNKNOWN_PENALTY = 10.0  # as in the library
@@ -78,8 +86,50 @@ class _Edges:
     right: list
 
 
+class _Known:
+    """Words met so far: the ids of a word's key, and whether they decode to the word."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[int, int] = {}
+        self.ids, self.begins, self.equal = array("i"), array("q", [0]), array("b")
+
+    @property
+    def count(self) -> int:
+        return len(self.equal)
+
+    def add(self, key: int, ids: array, equal: bool) -> int:
+        self.ids.extend(ids)
+        self.begins.append(len(self.ids))
+        self.equal.append(equal)
+        self.places[key] = self.count - 1
+        return self.count - 1
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Copies, so that words can still be added."""
+        return np.array(self.ids, np.int32), np.array(self.begins, np.int64), np.array(self.equal, bool)
+
+
+def _is_plain(data: np.ndarray, offsets: np.ndarray) -> bool:
+    """Whether all texts are valid UTF-8 without a literal U+2581."""
+    at = np.flatnonzero(data[:-2] == 0xE2) if len(data) > 2 else np.zeros(0, np.int64)
+    if ((data[at + 1] == 0x96) & (data[at + 2] == 0x81)).any():
+        return False
+    inner = offsets[1:-1]
+    inner = inner[inner < len(data)]
+    if (data[inner] & 0xC0 == 0x80).any():  # a text begins inside a character
+        return False
+    try:
+        data.tobytes().decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 class Codec:
-    """Encodes and decodes with a model file; one per Python worker."""
+    """Encodes and decodes with a model file; one per task."""
 
     def __init__(self, model: ModelFile):
         self.model = model
@@ -90,19 +140,19 @@ class Codec:
         if _USER in model.types:
             raise ValueError("user-defined pieces are not supported")
         self.words_apart = all(BLANK not in p.lstrip(BLANK) for p in self.ids)
-        self.trie: dict = {}  # by character; the piece's id under ""
+        self.trie: list = [-1, {}]  # the piece's id, or -1, and the nodes by the next character
         for piece, i in self.ids.items():
             node = self.trie
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = i
+                node = node[1].setdefault(c, [-1, {}])
+            node[0] = i
+        self.alone = {p for p in self.ids if len(p) == 1}  # characters that have a piece
         # an ASCII byte is a character of its own wherever it stands
         self.surfaces = [p if t == _NORMAL else chr(int(p[3:5], 16)) if t == _BYTE and int(p[3:5], 16) < 128 else None for p, t in zip(model.pieces, model.types, strict=True)]
         self.texts = list(model.pieces)  # with characters that have no piece appended as they come
         self.strange: dict[str, int] = {}
-        self.fresh: dict[str, tuple[int, ...]] = {}  # words, in two generations: a full one
-        self.aged: dict[str, tuple[int, ...]] = {}  # pushes the older one out
-        self.bare: dict[str, tuple[int, ...]] = {}  # fresh words without their blank
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.known = _Known()
         self.apart: dict[int, bool] = {}
         self.edges: dict[str, _Edges] = {}
         self.scores = [np.float32(x) for x in model.scores]
@@ -124,44 +174,101 @@ class Codec:
         if not self.words_apart:
             out.extend(self._search(text))
             return out
-        byte_fallback = self.model.byte_fallback
-        if byte_fallback and self.plain_blanks(text):  # every word has one blank before it
-            get = self.bare.get
-            for bare in text[1:].split(BLANK):
-                found = get(bare)
-                if found is None:
-                    found = self._word(BLANK + bare)
-                    get = self.bare.get
-                out.extend(found)
-            return out
-        get = self.fresh.get
+        get = self.words.get
         for word in re.findall(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", text):
             found = get(word)
             if found is None:
                 found = self._word(word)
-                get = self.fresh.get
             # a run of unknown characters is one id, also across words
-            if not byte_fallback and out and found and out[-1] == found[0] == self.unknown:
+            if not self.model.byte_fallback and out and found and out[-1] == found[0] == self.unknown:
                 found = found[1:]
             out.extend(found)
         return out
 
-    @staticmethod
-    def plain_blanks(text: str) -> bool:
-        return text.startswith(BLANK) and BLANK * 2 not in text and not text.endswith(BLANK)
-
     def _word(self, word: str) -> tuple[int, ...]:
-        found = self.aged.get(word)
-        if found is None:
-            found = tuple(self._search(word))
+        found = tuple(self._search(word))
         if len(word) <= CACHED_LENGTH:
-            if len(self.fresh) >= CACHE:
-                self.aged, self.fresh, self.bare = self.fresh, {}, {}
-            self.fresh[word] = found
-            if word[:1] == BLANK:
-                self.bare[word[1:]] = found
+            if len(self.words) >= WORDS // 8:
+                self.words.clear()
+            self.words[word] = found
         return found
 
+    # -------------------------------------------------- many texts at once
+
+    def encode_all(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first text, ids, how many each text has, whether it decodes to itself) of a string or
+        binary column, in parts of about SEGMENT bytes, one text at least."""
+        data, offsets = utf8_column(column)
+        by_words = self.words_apart and self.model.byte_fallback and self.model.dummy_prefix and not self.model.trim_blanks
+        for i, j in chunks(offsets, SEGMENT):
+            part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            if by_words and _is_plain(part, own):
+                yield i, *self._dealt(part, own)
+                continue
+            ids, counts, equal = array("i"), [], []
+            for a, b in zip(own[:-1], own[1:], strict=True):
+                text = part[a:b].tobytes().decode("utf-8", "replace")
+                found = self.encode(text)
+                ids.extend(found)
+                counts.append(len(found))
+                equal.append(self.decode(found) == self.normalise(text)[1 if self.model.dummy_prefix else 0 :].replace(BLANK, " "))
+            yield i, np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32), np.array(counts, np.int64), np.array(equal, bool)
+
+    def _dealt(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, their number for each text and whether it decodes to itself, word by word."""
+        sizes = np.diff(offsets)
+        filled = sizes > 0
+        # a blank before each text that isn't empty
+        spaced = np.insert(data, offsets[:-1][filled], 32)
+        heads = offsets[:-1] + np.cumsum(filled) - filled  # where each text's blank stands
+        blank = spaced == 32
+        opens = blank.copy()
+        opens[1:] &= ~blank[:-1]
+        opens[heads[filled]] = True
+        starts = np.flatnonzero(opens)
+        ends = np.append(starts[1:], len(spaced))
+        ids, counts, equal, at = [], [], [], 0
+        while at < len(starts):
+            stop = max(at + 1, int(np.searchsorted(ends, starts[at] + SEGMENT, side="right")))
+            got = self._words(spaced, starts[at:stop], ends[at:stop])
+            for own, x in zip((ids, counts, equal), got, strict=True):
+                own.append(x)
+            at = stop
+        if not ids:
+            return np.zeros(0, np.int32), np.zeros(len(sizes), np.int64), np.ones(len(sizes), bool)
+        counts, equal = np.concatenate(counts), np.concatenate(equal)
+        first = np.searchsorted(starts, heads)
+        first = np.append(first, len(starts))
+        total, wrong = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(~equal))
+        return np.concatenate(ids), total[first[1:]] - total[first[:-1]], wrong[first[1:]] == wrong[first[:-1]]
+
+    def _words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of neighbouring words, how many each has, and whether it decodes to itself."""
+        if len(starts) == 1 and ends[0] - starts[0] > SEGMENT:
+            word = data[starts[0] : ends[0]].tobytes().decode()
+            ids = np.fromiter(self._search(word.replace(" ", BLANK)), np.int32)
+            return ids, np.array([len(ids)]), np.array([self.decode(ids.tolist()) == word[1:]])
+        base = starts[0]
+        hashes = span_hashes(data[base : ends[-1]], starts - base, ends - base)
+        keys, at, where = np.unique(hashes + (ends - starts).astype(np.uint64), return_index=True, return_inverse=True)
+        known = self.known
+        if known.count + len(keys) > WORDS:
+            known.clear()
+        get, places = known.places.get, np.empty(len(keys), np.int64)
+        for k, key in enumerate(keys.tolist()):
+            place = get(key)
+            if place is None:
+                word = data[starts[at[k]] : ends[at[k]]].tobytes().decode()
+                ids = array("i", self._search(word.replace(" ", BLANK)))
+                place = known.add(key, ids, self.decode(ids) == word[1:])
+            places[k] = place
+        flat, begins, equal = known.arrays()
+        own = places[where]
+        counts = begins[own + 1] - begins[own]
+        upto = np.cumsum(counts)
+        take = np.repeat(begins[own] - (upto - counts), counts) + np.arange(upto[-1])
+        return flat[take], counts, equal[own]
+
     def _strange(self, char: str) -> int:
         """A number for a character that has no piece."""
         number = self.strange.get(char)
@@ -177,6 +284,9 @@ class Codec:
         where it begins, and its path's score.
         """
         size, longest, bpe = len(text), self.longest, self.model.kind == BPE
+        if bpe and size <= CHECK_EVERY:
+            yield from self._short(text)
+            return
         trie, scores, apart = self.trie, self.scores, self.apart
         room = min(size, CHECK_EVERY + longest) + 1
         via, back, best = [-1] * room, [-1] * room, [None] * room
@@ -207,40 +317,66 @@ class Codec:
             if bpe:
                 row = (last + 1) << 32
                 for c in ahead:
-                    node = node.get(c)
+                    node = node[1].get(c)
                     if node is None:
                         break
                     at += 1
-                    number = node.get("")
-                    if number is not None and via[at] < 0:
+                    number = node[0]
+                    if number >= 0 and via[at] < 0:
                         ok = apart.get(row + number)
                         if ok is None:
                             ok = self._judge(last, number)
                         if ok:
                             via[at], back[at] = number, rel
-                if ahead[0] not in trie or "" not in trie[ahead[0]]:
+                if ahead[0] not in self.alone:
                     number = self._strange(ahead[0])
                     if via[rel + 1] < 0 and self._judge(last, number):
                         via[rel + 1], back[rel + 1] = number, rel
             else:
                 reached = best[rel]
                 for c in ahead:
-                    node = node.get(c)
+                    node = node[1].get(c)
                     if node is None:
                         break
                     at += 1
-                    number = node.get("")
-                    if number is not None:
+                    number = node[0]
+                    if number >= 0:
                         value = reached + scores[number]
                         if best[at] is None or value > best[at]:
                             best[at], via[at], back[at] = value, number, rel
-                if ahead[0] not in trie or "" not in trie[ahead[0]]:
+                if ahead[0] not in self.alone:
                     value = reached + self.floor
                     if best[rel + 1] is None or value > best[rel + 1]:
                         best[rel + 1], via[rel + 1], back[rel + 1] = value, self._strange(ahead[0]), rel
             begin += 1
         yield from self._emit(via, back, size - base, text, base, run)[0]
 
+    def _short(self, text: str) -> list[int]:
+        """The search for a BPE model where no commit can come before the end."""
+        size, apart, first = len(text), self.apart, self.trie[1]
+        via, back = [-1] * (size + 1), [0] * (size + 1)
+        for begin in range(size):
+            last = via[begin]
+            row = (last + 1) << 32
+            node, at = first.get(text[begin]), begin
+            if node is None or node[0] < 0:
+                number = self._strange(text[begin])
+                if via[begin + 1] < 0 and self._judge(last, number):
+                    via[begin + 1], back[begin + 1] = number, begin
+            while node is not None:
+                at += 1
+                number = node[0]
+                if number >= 0 and via[at] < 0:
+                    ok = apart.get(row + number)
+                    if ok is None:
+                        ok = self._judge(last, number)
+                    if ok:
+                        via[at], back[at] = number, begin
+                if at == size:
+                    break
+                node = node[1].get(text[at])
+        return self._emit(via, back, size, text, 0, False)[0]
+
     def _meeting(self, back: list, rel: int) -> int:
         """The last boundary that the paths to rel and to every boundary reached beyond it share."""
         live = {rel, *(k for k in range(rel + 1, len(back)) if back[k] >= 0)}
@@ -270,7 +406,7 @@ class Codec:
         return out, run
 
     def _judge(self, last: int, number: int) -> bool:
-        if len(self.apart) >= 4 * CACHE:
+        if len(self.apart) >= NEIGHBOURS:
             self.apart.clear()
         ok = self._apart(self.texts[last] if last >= 0 else "", self.texts[number])
         self.apart[((last + 1) << 32) + number] = ok
@@ -303,7 +439,7 @@ class Codec:
     def _edges(self, piece: str) -> _Edges:
         found = self.edges.get(piece)
         if found is None:
-            if len(self.edges) >= CACHE:
+            if len(self.edges) >= EDGES:
                 self.edges.clear()
             parts, trace = self._merge(piece)
             left, right = [[piece[:1], -np.inf]], [[piece[-1:], -np.inf]]
@@ -365,19 +501,10 @@ class Codec:
 
 # ---------------------------------------------------------------- Spark
 
-_codecs: dict[bytes, Codec] = {}
-
 
 def _codec(shared) -> Codec:
-    """The worker's codec of a broadcast model file, kept with its cache between tasks."""
-    import hashlib
-
-    data = shared.value
-    key = hashlib.sha256(data).digest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(ModelFile.parse(data))
-    return _codecs[key]
+    """A codec of a broadcast model file, for one task."""
+    return Codec(ModelFile.parse(shared.value))
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", check: bool = True) -> DataFrame:
@@ -393,21 +520,11 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", check: bool
     def run(batches):
         codec = _codec(shared)
         for batch in batches:
-            column, done = batch.column(batch.num_columns - 1), 0
-            while done < len(column):
-                flat, ends, equal, begin = array("i"), [0], [], done
-                while done < len(column) and len(flat) < 1 << 20:
-                    text = (column[done].as_py() or b"").decode("utf-8", "replace")
-                    ids = codec.encode(text)
-                    flat.extend(ids)
-                    ends.append(len(flat))
-                    if check:
-                        equal.append(codec.decode(ids) == codec.normalise(text)[1 if codec.model.dummy_prefix else 0 :].replace(BLANK, " "))
-                    done += 1
-                ends = np.array(ends, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)))
-                own = batch.slice(begin, done - begin)
-                yield pa.RecordBatch.from_arrays([*own.columns[:-1], lists, pa.array(np.diff(ends).astype(np.int64)), *([pa.array(equal, pa.bool_())] if check else [])], names=schema.names)
+            for begin, ids, counts, equal in codec.encode_all(batch.column(batch.num_columns - 1)):
+                ends = np.append(0, np.cumsum(counts)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+                own = batch.slice(begin, len(counts))
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], lists, pa.array(counts), *([pa.array(equal)] if check else [])], names=schema.names)
 
     return source.mapInArrow(run, schema)
 

@@ -120,11 +120,15 @@ def _scan(part, base, offsets, table):
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes)
     if len(part) and inside[-1]:
         ends = np.append(ends, len(part))
-    up, down = _power_tables(len(part) + 1)
-    sums = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[mapped] * up[: len(part)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return starts + base, ends + base, hashes
+    return starts + base, ends + base, span_hashes(mapped, starts, ends)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span data[starts[i]:ends[i]]."""
+    up, down = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
 
 
 def chunks(offsets: np.ndarray, size: int = 4 * SEGMENT) -> Iterator[tuple[int, int]]:
