@@ -50,6 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .filters import BitFilter
 from .textkit import SPACED, mix, scanned
 from .workspace import Workspace
 
@@ -428,25 +429,10 @@ def _regions(texts: DataFrame, order: Order, large: dict[int, int], pivots: Pivo
 _REGION = ["pivot", "leader", "set", "size", "place"]
 
 
-class _Bits:
-    """Bits of hash values, some for each expected name up to a bound of 8 MB; more names only let more others through."""
-
-    def __init__(self, names: DataFrame):
-        self.size = 1 << min(26, max(16, (16 * names.count()).bit_length()))
-        bit = F.pmod(F.xxhash64("set"), F.lit(self.size))
-        words = names.select((bit / 64).cast("int").alias("w"), (bit % 64).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).toArrow()
-        self.table = np.zeros(self.size // 64, np.int64)
-        self.table[words["w"].to_numpy()] = words["bits"].to_numpy()
-
-    def __contains__(self, name: bytes) -> bool:
-        at = _spark_hash(name) % self.size
-        return bool(int(self.table[at >> 6]) >> (at & 63) & 1)
-
-
 def _described(texts: DataFrame, wanted: DataFrame, what: str, space: Workspace) -> DataFrame:
     """set and ``what`` (shingles or bins) of the wanted sets. The filter keeps most others from
     moving; what it lets through besides finds no partner in the joins."""
-    told = texts.sparkSession.sparkContext.broadcast(_Bits(wanted))
+    told = texts.sparkSession.sparkContext.broadcast(BitFilter(wanted, "set"))
 
     def run(batches):
         bits, seen = told.value, _Seen()
@@ -473,13 +459,6 @@ def _bins(s: np.ndarray) -> bytes:
     return np.int64(len(s)).tobytes() + np.minimum(counts, 65535).astype(np.uint16).tobytes()
 
 
-def _spark_hash(name: bytes) -> int:
-    """Spark's xxhash64 of a binary value."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest(name, seed=42)
-
-
 def _compared(pairs: DataFrame, texts: DataFrame, bins: DataFrame, space: Workspace) -> DataFrame:
     """Of pairs (a, b) those that link. bins: those of all sets in pairs."""
 

@@ -1,14 +1,16 @@
 """Secret scans over an incremental blob ledger.
 
 A text is a blob, named by its SHA-256, however many rows or versions hold it. The ledger
-is a Parquet table with a row for every (blob, rule version) pair that was ever scanned,
-also for those without a finding; a scan reads only pairs that are missing there, adds
-them, and joins the findings back to every row that holds the blob. A new rule version
-therefore scans every blob once more, for that rule alone.
+is a Parquet table of blobs with the rule versions they were ever scanned for, also without a
+finding; a scan takes the (blob, rule version) pairs that are missing there, adds them, and
+joins the findings back to every row that holds the blob. A new rule version therefore scans
+every blob once more, for that rule alone. ``Ledger.compact`` merges the batches of many scans.
 
-Scale: one shuffle of digests finds the unseen pairs; texts meet them on (blob, row that
-stands for it), so a blob that a third of all rows hold is moved once per row but scanned
-once; findings, few and small, come back by blob in a join whose hot side can be split.
+Scale: one shuffle of digests finds the unseen pairs. Texts don't move: a filter of a bounded
+size tells the tasks that read them which blobs have anything unseen (what it lets through
+besides is dropped again by the join with the unseen pairs), a task scans a blob once however
+many rows hold it, and results are one small row a blob. Findings come back by blob in a join
+whose hot side can be split.
 
 Defined results: a null text is the empty blob, without findings; repeated rows get the
 same findings; positions count code points, ends are exclusive; invalid UTF-8 reads as
@@ -21,15 +23,18 @@ base64 that follow.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .filters import BitFilter
 from .workspace import Workspace
 
 
@@ -93,13 +98,13 @@ def _blob(c):
 
 
 class Ledger:
-    """Scanned pairs: blob binary, rule string, spans array<struct<start, end>>, in a folder of batches."""
+    """Scanned blobs in a folder of batches: blob binary, rules (names with versions), findings."""
+
+    SCHEMA = "blob binary, rules array<string>, findings array<struct<rule: string, start: long, end: long>>"
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    SCHEMA = "blob binary, rule string, spans array<struct<start: long, end: long>>"
-
     def rows(self) -> DataFrame:
         try:
             return self.spark.read.schema(self.SCHEMA).option("recursiveFileLookup", "true").parquet(self.path)
@@ -108,64 +113,120 @@ class Ledger:
                 raise
             return self.spark.createDataFrame([], self.SCHEMA)
 
-    def add(self, scanned: DataFrame) -> None:
+    def add(self, scanned: DataFrame) -> str:
         """A batch in a folder of its own, so a failed one leaves no half-read rows."""
-        scanned.write.parquet(f"{self.path}/{uuid.uuid4().hex}")
-
-
-def scan(docs: DataFrame, ledger: Ledger, space: Workspace, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with _blob and findings (all spans by start, then kind as listed)."""
-    spark = docs.sparkSession
-    by_name = {r.name: r for r in rules}
-    keyed = docs.select(docs[id_col].alias("_ark_id"), _blob(docs[text_col]).alias("_ark_blob"))
-    blobs = keyed.groupBy("_ark_blob").agg(F.min("_ark_id").alias("_ark_rep"))
-    pairs = blobs.withColumn("_ark_rule", F.explode(F.array(*map(F.lit, by_name))))
-    seen = ledger.rows().select(F.col("blob").alias("_seen_blob"), F.col("rule").alias("_seen_rule"))
-    unseen = pairs.join(seen, (F.col("_ark_blob") == F.col("_seen_blob")) & (F.col("_ark_rule") == F.col("_seen_rule")), "left_anti")
-    todo = space.table(unseen.groupBy("_ark_blob", "_ark_rep").agg(F.collect_set("_ark_rule").alias("_ark_rules")))
-    todo = todo.select(F.col("_ark_blob").alias("_todo_blob"), F.col("_ark_rep").alias("_todo_rep"), "_ark_rules")
-    texts = docs.select(docs[id_col].alias("_ark_id"), docs[text_col].cast("binary").alias("_ark_text"))
-    texts = texts.withColumn("_ark_blob", _blob(F.col("_ark_text")))
-    found = texts.join(todo, (F.col("_ark_blob") == F.col("_todo_blob")) & F.col("_ark_id").eqNullSafe(F.col("_todo_rep"))).select("_ark_blob", "_ark_text", "_ark_rules")
+        batch = uuid.uuid4().hex
+        scanned.write.parquet(f"{self.path}/{batch}")
+        return batch
+
+    def compact(self) -> None:
+        """All batches as one, a row for each blob. Not beside a scan; if it is cut off, the batches
+        that are left only repeat what the new one holds."""
+        rows = self.rows()
+        if rows.isEmpty():
+            return
+        merged = rows.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"), F.array_distinct(F.flatten(F.collect_list("findings"))).alias("findings"))
+        batch = self.add(merged)
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for x in files.listStatus(folder):
+            if x.getPath().getName() != batch:
+                files.delete(x.getPath(), True)
+
+
+def _unseen(docs: DataFrame, ledger: Ledger, space: Workspace, text_col: str, names: list[str]) -> DataFrame | None:
+    """_todo_blob and _todo_rules: what the ledger has nothing of; None: it is empty."""
+    seen = ledger.rows()
+    if seen.isEmpty():
+        return None
+    blobs = docs.select(_blob(docs[text_col]).alias("_todo_blob")).distinct()
+    seen = seen.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("rules"))
+    rules = F.array(*map(F.lit, names))
+    met = blobs.join(seen, F.col("_todo_blob") == F.col("blob"), "left")
+    return space.table(met.select("_todo_blob", F.array_except(rules, F.coalesce("rules", F.array().cast("array<string>"))).alias("_todo_rules")).where(F.size("_todo_rules") > 0))
+
+
+def _scanned(docs: DataFrame, text_col: str, todo: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """A ledger batch: the unseen blobs with what they were scanned for."""
+    names = [r.name for r in rules]
+    if todo is None:
+        told = None
+    else:
+        whole = todo.where(F.size("_todo_rules") == len(names)).select("_todo_blob")
+        partly = todo.where(F.size("_todo_rules") < len(names))
+        missing = {r[0] for r in partly.select(F.explode("_todo_rules")).distinct().collect()}
+        told = BitFilter(whole, "_todo_blob"), BitFilter(partly.select("_todo_blob"), "_todo_blob"), missing
+    told = docs.sparkSession.sparkContext.broadcast(told)
 
     def run(batches):
-        spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        kind = pa.list_(pa.struct([("rule", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        done: set[bytes] = set()
         for batch in batches:
-            out = ([], [], [])
-            for blob, text, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = (text or b"").decode("utf-8", "replace")
+            blobs, found = [], []
+            for raw in batch.column(0):
+                raw = raw.as_py() or b""
+                blob = hashlib.sha256(raw).digest()
+                if blob in done:
+                    continue
+                if told.value is None or blob in told.value[0]:
+                    own = rules
+                elif blob in told.value[1]:
+                    own = [r for r in rules if r.name in told.value[2]]
+                else:
+                    continue
+                if len(done) >= 50_000:
+                    done.clear()
+                done.add(blob)
+                text = raw.decode("utf-8", "replace")
                 lowered = text.lower()
-                for name in names:
-                    for column, value in zip(out, (blob, name, [{"start": a, "end": b} for a, b in spans_of(by_name[name], text, lowered)]), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.string(), spans_type), strict=True)], names=["blob", "rule", "spans"])
+                blobs.append(blob)
+                found.append([{"rule": r.name, "start": a, "end": b} for r in own for a, b in spans_of(r, text, lowered)])
+            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array(found, kind)], names=["blob", "findings"])
+
+    source = docs.select(docs[text_col].cast("binary").alias("_ark_text"))
+    rows = source.mapInArrow(run, "blob binary, findings array<struct<rule: string, start: long, end: long>>").dropDuplicates(["blob"])
+    if todo is None:
+        return rows.select("blob", F.array(*map(F.lit, names)).alias("rules"), "findings")
+    met = rows.join(todo, F.col("blob") == F.col("_todo_blob"))
+    return met.select("blob", F.col("_todo_rules").alias("rules"), F.filter("findings", lambda f: F.array_contains("_todo_rules", f["rule"])).alias("findings"))
 
-    # rows that repeat with their id stand for the same blob twice; the ledger holds each pair once
-    ledger.add(found.mapInArrow(run, Ledger.SCHEMA).groupBy("blob", "rule").agg(F.any_value("spans").alias("spans")))
+
+def scan(docs: DataFrame, ledger: Ledger, space: Workspace, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with _blob and findings (all spans by start, then kind as listed)."""
+    names = [r.name for r in rules]
+    ledger.add(_scanned(docs, text_col, _unseen(docs, ledger, space, text_col, names), rules))
     place = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
     kind = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.kind)])
-    hits = ledger.rows().where(F.col("rule").isin(*by_name) & (F.size("spans") > 0))
-    each = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.element_at(place, F.col("rule")).alias("at"), F.element_at(kind, F.col("rule")).alias("kind"), s["end"].alias("end")))
-    found = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(each))).alias("f"))
+    hits = ledger.rows().select("blob", F.filter("findings", lambda f: f["rule"].isin(names)).alias("findings")).where(F.size("findings") > 0)
+    each = F.transform("findings", lambda s: F.struct(s["start"].alias("start"), F.element_at(place, s["rule"]).alias("at"), F.element_at(kind, s["rule"]).alias("kind"), s["end"].alias("end")))
+    found = hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(each)))).alias("f"))
     found = space.table(found.select(F.col("blob").alias("_found_blob"), F.transform("f", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("_ark_found")))
     named = docs.select(*[docs[c] for c in docs.columns if c != "findings"], _blob(docs[text_col]).alias("_ark_blob"))
     joined = named.join(found, F.col("_ark_blob") == F.col("_found_blob"), "left")
     return joined.withColumn("findings", F.coalesce("_ark_found", F.array().cast(_FINDINGS))).drop("_ark_found", "_found_blob")
 
 
+def hidden(text: str, findings: list) -> str:
+    """text with [kind] in place of its findings, which come by start; one that begins inside another is covered by it."""
+    out, to = [], 0
+    for f in findings:
+        if f["start"] >= to:
+            out += [text[to : f["start"]], f"[{f['kind']}]"]
+        to = max(to, f["end"])
+    return "".join([*out, text[to:]])
+
+
 def redact(docs: DataFrame, ledger: Ledger, space: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every finding in the text replaced by [kind]; texts without one stay as they are."""
+    """docs with every finding in the text replaced by [kind]; texts without one stay as they are and never leave the JVM."""
     names = docs.columns
     found = scan(docs, ledger, space, id_col, text_col, WHOLE)
-    text = F.col(text_col)
-    # findings come by start; one that begins inside another is covered by it
-    joined = F.aggregate(
-        "findings",
-        F.struct(F.lit(0).cast("long").alias("to"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["start"] >= a["to"], F.struct(s["end"].alias("to"), F.concat(a["out"], text.substr((a["to"] + 1).cast("int"), (s["start"] - a["to"]).cast("int")), F.lit("["), s["kind"], F.lit("]")).alias("out"))).otherwise(F.struct(F.greatest(a["to"], s["end"]).alias("to"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], text.substr((a["to"] + 1).cast("int"), F.length(text))),
-    )
-    return found.withColumn(text_col, F.when(F.size("findings") > 0, joined).otherwise(text)).select(*names)
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, findings: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else hidden(bytes(t).decode("utf-8", "replace"), f) for t, f in zip(texts, findings, strict=True)], dtype=object)
+
+    hit = F.size("findings") > 0
+    return found.withColumn(text_col, F.coalesce(cut(F.when(hit, F.col(text_col).cast("binary")), F.when(hit, F.col("findings"))), F.col(text_col))).select(*names)
 
 
 def _listed(findings):

@@ -215,18 +215,44 @@ def test_secrets_by_definition(spark):
     space.release()
 
 
-def test_ledger_scans_only_unseen_pairs(spark):
+def _pairs(ledger):
+    return sorted((bytes(r.blob), x) for r in ledger.rows().collect() for x in r.rules)
+
+
+def test_ledger_scans_only_unseen_pairs(spark, monkeypatch):
+    """Two versions of documents and two of the rules; findings are those of a scan from nothing."""
     space = Workspace(spark, "test-secrets")
     ledger = secrets.Ledger(spark, space.subdir("ledger"))
-    docs = _docs(spark, ["token=abcdefgh", "token=abcdefgh", "plain"])
+    docs = _docs(spark, ["token=abcdefgh", "token=abcdefgh", "plain", None, ""])
     secrets.scan(docs, ledger, space).collect()
-    assert ledger.rows().count() == 2 * len(secrets.RULES)
+    first = _pairs(ledger)
+    assert len(first) == 3 * len(secrets.RULES) == len(set(first))
     secrets.scan(docs, ledger, space).collect()
-    assert ledger.rows().count() == 2 * len(secrets.RULES)
+    assert _pairs(ledger) == first
     newer = secrets.Rule("assign", 2, secrets.RULES[0].pattern, 2, 9)
-    again = secrets.scan(docs.unionAll(_docs(spark, ["new"])), ledger, space, rules=(newer, *secrets.RULES[1:]))
-    assert all(not r.findings for r in again.collect())
-    assert ledger.rows().count() == 2 * len(secrets.RULES) + 2 + len(secrets.RULES)
+    rules = (newer, *secrets.RULES[1:])
+    more = docs.unionAll(_docs(spark, ["new token=abcdefghi", "new"]))
+    again = secrets.scan(more, ledger, space, rules=rules).collect()
+    fresh = secrets.scan(more, secrets.Ledger(spark, space.subdir("other")), space, rules=rules).collect()
+    assert sorted(map(str, again)) == sorted(map(str, fresh)) and sum(bool(r.findings) for r in again) == 1
+    after = _pairs(ledger)
+    assert len(after) == len(set(after)) == len(first) + 3 + 2 * len(rules)
+    ledger.compact()
+    assert _pairs(ledger) == after and ledger.rows().count() == 5
+    assert sum(len(r.findings) for r in secrets.scan(docs, ledger, space).collect()) == 2
+    assert _pairs(ledger) == after
+    space.release()
+
+
+def test_secrets_in_a_very_long_text(spark):
+    space = Workspace(spark, "test-secrets")
+    texts = ["x " * 400_000 + "token=abcdefgh " + "é" * 300_000 + " AKIA" + "Q" * 20, "token=abcdefgh\n" * 20_000]
+    ledger = secrets.Ledger(spark, space.subdir("l"))
+    found = {r.doc_id: r.findings for r in secrets.scan(_docs(spark, texts), ledger, space).collect()}
+    assert [(s.kind, s.start, s.end) for s in found[0]] == [("assign", 800_000, 800_014), ("access", 1_100_016, 1_100_040)]
+    assert len(found[1]) == 20_000
+    kept = {r.doc_id: r.text for r in secrets.redact(_docs(spark, texts), secrets.Ledger(spark, space.subdir("r")), space).collect()}
+    assert kept[1] == "[assign]\n" * 20_000
     space.release()
 
 
