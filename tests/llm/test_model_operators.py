@@ -27,8 +27,9 @@ def _plain_top(vectors, k):
 @pytest.mark.parametrize("block", [2048, 40])
 def test_top_k_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(covertree, "BLOCK", block)
-    monkeypatch.setattr(covertree, "LEAF", 8)
-    monkeypatch.setattr(covertree, "QUERY_LEAF", 4)
+    monkeypatch.setattr(covertree, "QUERY_BLOCK", max(7, block // 20))
+    monkeypatch.setattr(covertree, "PER_TASK", 2)
+    monkeypatch.setattr(covertree, "SMALL", 3)
     rng = random.Random(2)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(200)]
     rows += [(i, [0.5] * 6) for i in range(200, 300)]  # ties
@@ -42,22 +43,50 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block):
 
 
 def test_large_components_stay_exact():
-    a, b = (covertree.CoverTree(np.array([i]), np.array([[2.0**55 + 64, 3.0]]), 8) for i in (1, 2))
-    search = covertree.Search(a, b, 1, np.array([-np.inf], object))
-    search.run()
+    a, b = (covertree.CoverTree(np.array([i]), np.array([[2.0**55 + 64, 3.0]])) for i in (1, 2))
+    search = covertree.Search(a, 1, np.array([-np.inf]))
+    search.run(b)
     assert list(search.score[0]) == [int(2.0**55 + 64) ** 2 + 9] and not search.exact
 
 
+@pytest.mark.parametrize("spread, copies", [(40.0, 0), (3.0, 50), (0.0, 5)])
+def test_cover_tree_levels(spread, copies):
+    """Separation, covering, nesting and the covering radii, as the structure defines them."""
+    rng = np.random.default_rng(1)
+    centers = rng.normal(0, 100, (6, 5))
+    points = np.floor(np.concatenate([c + rng.normal(0, spread, (60, 5)) for c in centers]))
+    points = np.concatenate([points, points[:copies]])
+    tree = covertree.CoverTree(np.arange(len(points)), points)
+    assert sorted(tree.ids.tolist()) == list(range(len(points))) and (points[tree.ids] == tree.points).all()
+    apart = lambda i, j: float(np.sqrt(((tree.points[i] - tree.points[j]) ** 2).sum()))
+    deepest = max(tree.levels.values())
+    for level in range(deepest + 1):
+        radius = tree.top / 2**level
+        net = [p for p, v in tree.levels.items() if v <= level]  # nesting: a net holds those before it
+        assert all(apart(i, j) > radius - 1e-6 for i in net for j in net if i < j)
+        assert all(min(apart(p, i) for i in net) <= radius + 1e-6 for p in range(len(points)))
+    for p, above in tree.parent.items():
+        assert tree.levels[above] < tree.levels[p] and apart(p, above) <= tree.top / 2 ** (tree.levels[p] - 1) + 1e-6
+    stack, count = [tree.root], 0
+    while stack:
+        node = stack.pop()
+        count += 1
+        assert all(apart(node.center, i) <= node.radius for i in range(node.lo, node.hi))
+        assert [node.bundle, *(c.hi for c in node.children)] == [*(c.lo for c in node.children), node.hi]
+        assert all(c.level > node.level for c in node.children)
+        stack += node.children
+    assert count > 1 or not spread
+    again = covertree.CoverTree.unpacked(tree.packed())
+    assert (again.points == tree.points).all() and (again.ids == tree.ids).all()
+
+
 def test_search_prunes_far_nodes():
     rng = np.random.default_rng(0)
-    near, far = rng.normal(50, 1, (300, 4)), rng.normal(-50, 1, (3000, 4))
-    tree = covertree.CoverTree(np.arange(3300), np.floor(np.concatenate([near, far])), 32)
-    search = covertree.Search(covertree.CoverTree(np.arange(5000, 5010), np.floor(near[:10]), 8), tree, 5, np.full(10, -np.inf, object))
-    seen = []
-    scan = search._scan
-    search._scan = lambda own, rows, a: (seen.append((own.stop - own.start) * (rows.stop - rows.start)), scan(own, rows, a))
-    search.run()
-    assert sum(seen) < 10 * 3300 / 2
+    near, far = rng.normal(50, 1, (300, 4)), rng.normal(-50, 1, (700, 4))
+    rows = np.floor(np.concatenate([near, far]))
+    search = covertree.Search(covertree.CoverTree(np.arange(5000, 5010), np.floor(near[:10])), 5, np.full(10, -np.inf))
+    search.run(covertree.CoverTree(np.arange(1000), rows))
+    assert 0 < search.scored < 10 * 1000 / 2
 
 
 # ---------------------------------------------------------------- 5 pages
