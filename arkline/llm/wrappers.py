@@ -11,12 +11,13 @@ wrapper's size bounded by its distinct labels.
 
 The wrapper says which element holds a host's article: an article or main element, else the
 deepest one with all text that isn't fixed, without parts that are navigation, adverts,
-notices, forms or comments by their tag or name. A text of up to LONGEST_FIXED characters is
-fixed if it stands at one place of every page with text of a host and these pages have at
-least FIXED_PAGES different texts, so copies and repeated rows are one page. Outside article
-and main, fixed texts are dropped at their place as part of the template, unless nothing else
-is left of a page. A page that lacks the wrapper's article element is taken as a wrapper of
-its own.
+notices, forms or comments by their tag or name. A text of any length is fixed if it stands
+at one place (the labels down to it) of every page with text of a host and these pages have
+at least FIXED_PAGES different texts, so copies and repeated rows are one page; a wrapper
+carries the digests of these texts, however its parts were generalised. Outside article and
+main, fixed texts are dropped at their place as part of the template, unless nothing else is
+left of a page. A page that lacks the wrapper's article element is taken as a wrapper of its
+own.
 
 Defined results: a null or tagless html is text of its own (null: empty); unclosed, stray
 and cut tags are tolerated; equal pages give equal texts; a null URL, or one without "://",
@@ -29,6 +30,7 @@ import hashlib
 import html as _html
 import json
 import re
+import zlib
 from collections import Counter
 
 import pandas as pd
@@ -45,8 +47,8 @@ MOST_PARTS = 40
 DEEPEST = 150  # in a wrapper, elements nested deeper become siblings
 HOSTS_HELD = 2000
 FIXED_PAGES = 3
-LONGEST_FIXED = 200
-SALTS = 16
+LONGEST_SHOWN = 200  # in an expression, longer texts are shown as their digest
+SALTS = (256, 16)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
@@ -67,10 +69,13 @@ _ENDS = {tag: [k for k, tags in CLOSES.items() if tag in tags] for tag in frozen
 
 
 class Element:
-    __slots__ = ("tag", "label", "noise", "kids")
+    """place: a number for the labels from the page down to it."""
 
-    def __init__(self, tag, label, noise):
+    __slots__ = ("tag", "label", "noise", "kids", "place")
+
+    def __init__(self, tag, label, noise, above=0):
         self.tag, self.label, self.noise, self.kids = tag, label, noise, []
+        self.place = zlib.crc32(label.encode("utf-8", "surrogatepass") + b"/", above)
 
 
 def _named(tag: str, attributes: str) -> tuple[str, bool]:
@@ -148,7 +153,7 @@ def parse(html: str) -> Element:
                 break
             if open_tag not in CLOSES and open_tag not in INLINE:
                 break
-        element = Element(tag, *named)
+        element = Element(tag, *named, stack[-1].place)
         stack[-1].kids.append(element)
         if not attributes.endswith("/"):
             stack.append(element)
@@ -159,7 +164,8 @@ def parse(html: str) -> Element:
 # ---------------------------------------------------------------- wrappers
 
 # a part of a wrapper: [label, optional, repeated, fixed text or None, parts, noise, pages, characters,
-# a slot: digest of its short texts while all pages have the same; the root: digests of up to FIXED_PAGES different pages]
+# a slot: digest of its texts while all pages have the same;
+# the root: digests of up to FIXED_PAGES different pages, and of all texts with their places that every page has]
 LABEL, OPTIONAL, REPEATED, TEXT, PARTS, NOISY, PAGES, SIZE, SAME = range(9)
 _SLOT = "#"
 _GROUP = "()"
@@ -169,18 +175,22 @@ def _digest(*texts: str) -> str:
     return hashlib.blake2b("\0".join(texts).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
+def _at(place: int, text: str) -> str:
+    return _digest(str(place), text)
+
+
 def wrapper_of(root: Element) -> list:
     """The wrapper of one page, folded; without parts if the page has no text but noise."""
-    texts: list[str] = []
+    texts: list[tuple[int, str]] = []
     whole = _wrapper_of(root, texts, root.noise, 1)
     if texts:
-        whole[SAME] = [_digest(*texts)]
+        whole[SAME] = [[_digest(*(t for _, t in texts))], sorted({_at(*x) for x in texts})]
     else:
         whole[PARTS] = []
     return whole
 
 
-def _wrapper_of(element: Element, texts: list[str], noise: bool, depth: int) -> list:
+def _wrapper_of(element: Element, texts: list[tuple[int, str]], noise: bool, depth: int) -> list:
     """The wrapper of an element; its texts outside noise are added to texts."""
     parts = _parts(element, texts, noise, depth)
     if depth == DEEPEST:
@@ -189,7 +199,7 @@ def _wrapper_of(element: Element, texts: list[str], noise: bool, depth: int) ->
     return [element.label, False, False, None, fold(parts), element.noise, 1, 0, None]
 
 
-def _parts(element: Element, texts: list[str], noise: bool, depth: int | None) -> list:
+def _parts(element: Element, texts: list[tuple[int, str]], noise: bool, depth: int | None) -> list:
     """Slots for the element's own texts and, above DEEPEST, the wrappers of its elements."""
     parts, text = [], []
 
@@ -197,10 +207,10 @@ def _parts(element: Element, texts: list[str], noise: bool, depth: int | None) -
         value = _clean("".join(text))
         text.clear()
         if value:
-            short = len(value) <= LONGEST_FIXED
-            parts.append([_SLOT, False, False, value if short else None, [], False, 1, len(value), _digest(value) if short else None])
+            digest = _digest(value)
+            parts.append([_SLOT, False, False, value if len(value) <= LONGEST_SHOWN else f"\0{digest}", [], False, 1, len(value), digest])
             if not noise:
-                texts.append(value)
+                texts.append((element.place, value))
 
     for kid in element.kids:
         if isinstance(kid, str):
@@ -258,9 +268,10 @@ def align(a: list, b: list, together: bool = False) -> list:
     pages = max(a[PAGES], b[PAGES]) if together else a[PAGES] + b[PAGES]
     text = a[TEXT] if a[TEXT] == b[TEXT] else None
     if isinstance(a[SAME] or b[SAME], list):  # roots
-        same = sorted({*(a[SAME] or ()), *(b[SAME] or ())})[:FIXED_PAGES]
         if not a[PARTS] or not b[PARTS]:  # pages without text say nothing of the others
-            return [*(a if a[PARTS] else b)[:PAGES], pages, a[SIZE] + b[SIZE], same]
+            whole = a if a[PARTS] else b
+            return [*whole[:PAGES], pages, a[SIZE] + b[SIZE], whole[SAME]]
+        same = [sorted({*a[SAME][0], *b[SAME][0]})[:FIXED_PAGES], sorted(set(a[SAME][1]) & set(b[SAME][1]))]
     elif together:
         same = _digest(a[SAME], b[SAME]) if a[SAME] and b[SAME] else None
     else:
@@ -353,30 +364,13 @@ def locate(root: list) -> tuple[str, ...]:
 
 
 def _several(root: list) -> bool:
-    return len(root[SAME] or ()) >= FIXED_PAGES
-
-
-def _fixed(root: list) -> list[list]:
-    """[labels down to it, text] of texts that stand at one place of every page of a host of several."""
-    out: set[tuple] = set()
-
-    def walk(part, path):
-        for p in part[PARTS]:
-            if p[OPTIONAL]:
-                continue
-            if p[LABEL] == _SLOT and p[TEXT] is not None:
-                out.add((path, p[TEXT]))
-            walk(p, path if p[LABEL] in (_SLOT, _GROUP) else (*path, p[LABEL]))
-
-    if _several(root):
-        walk(root, ())
-    return [[list(path), text] for path, text in sorted(out)]
+    return root[SAME] is not None and len(root[SAME][0]) >= FIXED_PAGES
 
 
 def plan_of(root: list) -> dict:
     path = locate(root)
     strict = bool(path) and (_tag(path[-1]) in ("article", "main") or "main" in path[-1].split("."))
-    return {"path": path, "fixed": [] if strict else _fixed(root)}
+    return {"path": path, "fixed": root[SAME][1] if _several(root) and not strict else []}
 
 
 # ---------------------------------------------------------------- extraction
@@ -404,19 +398,19 @@ def _holders(element: Element, path, depth=0):
             yield from _holders(kid, path, depth + 1)
 
 
-def _blocks(element: Element, out: list[tuple], inside: bool, path: tuple[str, ...]) -> None:
-    """Adds (labels down to it, text) of each block; labels end below DEEPEST, where no text is fixed."""
+def _blocks(element: Element, out: list[tuple[int, str]], inside: bool) -> None:
+    """Adds (place, text) of each block."""
     text: list[str] = []
 
-    def flush(path):
+    def flush(place):
         value = _clean("".join(text))
         text.clear()
         if value:
-            out.append((path, value))
+            out.append((place, value))
 
-    stack = [(element, iter(element.kids), inside, path)]
+    stack = [(element, iter(element.kids), inside)]
     while stack:
-        element, kids, inside, path = stack[-1]
+        element, kids, inside = stack[-1]
         for kid in kids:
             if isinstance(kid, str):
                 text.append(kid)
@@ -424,19 +418,18 @@ def _blocks(element: Element, out: list[tuple], inside: bool, path: tuple[str, .
             if kid.noise:
                 heading = kid.tag == "header" and inside and any(k.tag == "h1" for k, _ in _below(kid))
                 if heading or kid.tag not in INLINE and kid.tag not in UNSEEN:
-                    flush(path)
+                    flush(element.place)
                 if not heading:
                     continue
             elif element.tag == "tr" and kid.tag in CELLS and all(isinstance(k, str) for k in kid.kids):
                 text += [" ", *kid.kids, " "]
                 continue
             else:
-                flush(path)
-            below = (*path, kid.label) if path is not None and len(path) < DEEPEST else None
-            stack.append((kid, iter(kid.kids), inside or kid.tag == "article", below))
+                flush(element.place)
+            stack.append((kid, iter(kid.kids), inside or kid.tag == "article"))
             break
         else:
-            flush(path)
+            flush(element.place)
             stack.pop()
 
 
@@ -457,11 +450,11 @@ def main_text(html: str, plan: dict | None) -> str:
         if plan is None or plan["path"]:
             plan = plan_of(wrapper_of(tree)) | {"fixed": []}
         found = list(_holders(tree, plan["path"])) or [tree]
-    out: list[tuple] = []
+    out: list[tuple[int, str]] = []
     for holder in found:
-        _blocks(holder, out, any(_tag(p) == "article" for p in plan["path"]), tuple(plan["path"]) if holder is not tree else ())
-    fixed = {(tuple(path), text) for path, text in plan["fixed"]}
-    return "\n\n".join(text for _, text in [x for x in out if x not in fixed] or out)
+        _blocks(holder, out, any(_tag(p) == "article" for p in plan["path"]))
+    fixed = set(plan["fixed"])
+    return "\n\n".join(text for _, text in ([x for x in out if _at(*x) not in fixed] if fixed else out) or out)
 
 
 # ---------------------------------------------------------------- Spark
@@ -497,9 +490,9 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
 
     schema = "host string, pages long, wrapper string"
     own = source.mapInArrow(align_own, schema)
-    # a host on every task merges in SALTS groups first
-    some = own.withColumn("_salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).groupBy("host", "_salt").applyInPandas(merge, schema)
-    return some.groupBy("host").applyInPandas(merge, schema)
+    for salts in SALTS:  # a host on every task merges in groups first
+        own = own.withColumn("_salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts))).groupBy("host", "_salt").applyInPandas(merge, schema)
+    return own.groupBy("host").applyInPandas(merge, schema)
 
 
 def extract(pages: DataFrame, space: Workspace, url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -180,6 +180,24 @@ def test_fixed_texts_go_at_their_place_only():
     assert wrappers.main_text(pages[1], plan) == "Title 1\n\nMenu\n\nText 1\n\nRare"
 
 
+@pytest.mark.parametrize("kinds", [3, 90])
+def test_long_texts_and_many_parts_are_fixed_too(kinds):
+    """A template text of 300 characters, beside few parts and beside so many that they are generalised."""
+    long = "fixed " * 50
+    parts = lambda i: "".join(f"<{t}>{i} {k} {t}</{t}>" for k, t in enumerate(random.Random(i).choices(["p", "h2", "pre", "h3", "div"], k=kinds)))
+    pages = [f"<body><section><div><p>{long}</p></div>{parts(i)}</section></body>" for i in range(4)]
+    got = wrappers.main_text(pages[2], _whole(pages))
+    assert long.strip() not in got and got.count("\n\n") == kinds - 1
+    assert long.strip() in wrappers.main_text(pages[2], _whole(pages[:2]))
+
+
+def test_noise_below_the_deepest_level_stays_out():
+    nest = lambda n, inner: "<div>" * n + inner + "</div>" * n
+    html = nest(200, "<nav>menu menu</nav><p>text</p><aside>ad</aside>")
+    assert wrappers.main_text(html, None) == "text"
+    assert wrappers.main_text(html, _whole([html] * 3)) == "text"
+
+
 def test_deep_nests_keep_their_ends():
     nest = lambda n, inner: "<div>" * n + inner + "</div>" * n
     html = f"<body><div class=x><article><p>a</p>{nest(400, 'deep <p>in</p> after<ul class=menu><li>no</ul>')}<p>last</p></article></div><p>out</p>"
