@@ -312,6 +312,82 @@ def test_quotes_link_to_originals(spark):
     space.release()
 
 
+def _plain_links(messages):
+    """{turn: (parent, linked hashes)} of one conversation by comparing every text with every other."""
+    parsed = {t: quotes.parse(text or "") for t, text in messages}
+    own = {}
+    for t, (body, _) in parsed.items():
+        own[t] = {quotes.normalised(x) for x in [body, *re.split(r"\n\s*\n", body), *body.split("\n")]} - {""}
+    out = {}
+    for t, (_, passages) in parsed.items():
+        by_level, found = {}, set()
+        for level, passage in passages:
+            for part in {passage, *passage.split("\n")}:
+                text = quotes.normalised(part)
+                earlier = [u for u in own if u < t and text in own[u]]
+                if text and earlier:
+                    found.add(text)
+                    known = by_level.setdefault(level, {}).setdefault(min(earlier), {})
+                    known[text] = max(known.get(text, (0, 0)), (int(part == passage), len(text)))
+        if by_level:
+            best = by_level[min(by_level)]
+            out[t] = (max(best, key=lambda u: (max(best[u].values()), len(best[u]), u)), len(found))
+    return out
+
+
+def test_quotation_links_equal_brute_force(spark):
+    rng = random.Random(5)
+    lines = [f"line {k} of some words" for k in range(12)] + ["fine", "yes", "A  longer LINE here", ""]
+    rows, base = [], 1_700_000_000_000  # turns of 13 digits
+    for conv in range(25):
+        texts = []
+        for turn in range(rng.randrange(1, 14)):
+            parts = []
+            for _ in range(rng.randrange(0, 3)):
+                if texts:
+                    quoted = rng.choice(texts).split("\n")
+                    some = quoted if rng.random() < 0.5 else [rng.choice(quoted)]
+                    parts += ["> " * rng.choice([1, 1, 2]) + x.upper() for x in some]
+                parts.append(rng.choice(lines))
+            parts += rng.choices(lines, k=rng.randrange(0, 3))
+            texts.append("\n".join(parts))
+            rows.append((conv, base + turn, "user", texts[-1]))
+    rows += [(50, 0, "user", "The long unique opening question."), (50, 1, "bot", "fine"), (50, 2, "user", "> The long unique opening question.\n> fine\nsee")]
+    rows += [(60, t, "user", f"> m{t - 1}\nm{t}") for t in range(40)]  # a chain
+    space = Workspace(spark, "test-quotes")
+    linked = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), space)
+    got = {}
+    for r in linked.collect():
+        got.setdefault(r.conv_id, []).append(r)
+    units = {r.conv_id: [m.content for m in r.messages] for r in quotes.conversations(linked.coalesce(1)).collect()}
+    for conv, own in got.items():
+        want = _plain_links([(t, x) for c, t, _, x in rows if c == conv])
+        assert {r.turn: (r.reply_to, r.n_linked) for r in own if r.reply_to is not None} == want
+        below = {}
+        for r in own:
+            below.setdefault(want.get(r.turn, (None,))[0], []).append(r.turn)
+        order, stack = [], [(t, 0) for t in sorted(below.get(None, []), reverse=True)]
+        while stack:
+            t, depth = stack.pop()
+            order.append((t, depth))
+            stack += [(u, depth + 1) for u in sorted(below.get(t, []), reverse=True)]
+        own.sort(key=lambda r: r.reply_order)
+        assert [(r.turn, r.depth) for r in own] == order
+        assert units[conv] == [r.content for r in own]
+    assert {r.reply_to for r in got[50]} == {None, 0} and max(len(r.reply_order) for r in got[60]) < 40
+    space.release()
+
+
+def test_messages_with_odd_bytes_and_great_length(spark):
+    space = Workspace(spark, "test-quotes")
+    long = "word " * 200_000 + "end"
+    rows = [(1, 0, b"odd \xff bytes"), (1, 1, b"> odd \xff bytes\nok"), (1, 2, long.encode()), (1, 3, b"> " + long.encode() + b"\nyes"), (1, None, b"x"), (None, 1, b"> x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text binary").select("conv_id", "turn", F.expr("cast(null as string)").alias("role"), F.col("text").cast("string"))
+    got = {(r.conv_id, r.turn): (r.reply_to, r.role, len(r.content)) for r in quotes.link(df, space).collect()}
+    assert got[1, 1] == (0, "user", 2) and got[1, 3] == (2, "user", 3) and got[1, 2][2] == len(long)
+    space.release()
+
+
 # ---------------------------------------------------------------- 10 toxicity
 
 
