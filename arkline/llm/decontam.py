@@ -10,8 +10,10 @@ first cuts every text into the runs in which each pair of neighbours occurs in s
 and only runs long enough for a window stream through the automaton.
 
 Scale: documents are scanned in place, without a shuffle. The automaton is broadcast in
-shards of at most SHARD_WORDS benchmark words, each built on its own and matched one
-after the other, so its memory has a bound and no item is left out.
+shards of at most SHARD_WORDS benchmark words (a longer item goes to several, with WINDOW - 1
+words in common), at most SHARDS of them at once; a larger benchmark takes further passes over
+the documents with what was found as columns, each from a written table. So what the driver
+and a task hold has a bound, and no item is left out.
 
 Defined results: a null or wordless text has no words and no hits; a null or wordless
 item has no windows; repeated items or documents are matched each on their own; invalid
@@ -21,6 +23,7 @@ UTF-8 counts as word bytes. Result columns replace input columns of the same nam
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textkit import ALNUM, scan_words, scanned
+from .workspace import Workspace
 
 WINDOW = 10
 SHARD_WORDS = 200_000
+SHARDS = 4
 _TABLE = ALNUM.tobytes()
 
 
@@ -174,32 +179,32 @@ class Shard:
                     up = a.link[up]
 
 
-def build_shards(benchmark: DataFrame, item_col: str, text_col: str, window: int, shard_words: int = SHARD_WORDS) -> list:
-    """Broadcast shards of at most shard_words words, or one item if it has more."""
-    spark = benchmark.sparkSession
-    shards, items, size = [], [], 0
+def _shards(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Iterator[Shard]:
+    """Shards of at most SHARD_WORDS words; the driver holds one item and the shard that it builds."""
+    items, size = [], 0
     rows = benchmark.select(benchmark[item_col].alias("k"), benchmark[text_col].cast("binary").alias("t")).where("t IS NOT NULL")
     for k, text in rows.toLocalIterator():
         words = words_of(bytes(text))
-        if not words:
-            continue
-        if items and size + len(words) > shard_words:
-            shards.append(spark.sparkContext.broadcast(Shard(items, window)))
-            items, size = [], 0
-        items.append((k, words))
-        size += len(words)
+        step = max(SHARD_WORDS, 2 * window)
+        for begin in range(0, max(1, len(words) - window + 1), step - window + 1):
+            part = words[begin : begin + step]
+            if items and size + len(part) > SHARD_WORDS:
+                yield Shard(items, window)
+                items, size = [], 0
+            if part:
+                items.append((k, part))
+                size += len(part)
     if items:
-        shards.append(spark.sparkContext.broadcast(Shard(items, window)))
-    return shards
+        yield Shard(items, window)
 
 
-def _matched(column: pa.Array, shards: list) -> Iterator[tuple[int, list, set, np.ndarray, tuple[int, int]]]:
-    """Per text: words, hit ranges of words, items, and the words' byte offsets in the text."""
+def _matched(column: pa.Array, shards: list[Shard], known: list[tuple[list, set]]) -> Iterator[tuple[int, list, set, list]]:
+    """Per text: words, hit ranges of words, items, and the ranges' byte offsets in the text.
+    known: ranges and items found before."""
     for i, j, data, offsets, words in scanned(column, ALNUM):
-        ranges: list[list] = [[] for _ in range(i, j)]
-        items: list[set] = [set() for _ in range(i, j)]
-        for broadcast in shards:
-            shard = broadcast.value
+        ranges: list[list] = [[list(r) for r in known[d][0]] for d in range(i, j)]
+        items: list[set] = [known[d][1] for d in range(i, j)]
+        for shard in shards:
             for begin, end in shard.runs(words.hashes, words.first):
                 doc = int(np.searchsorted(words.first, begin, side="right")) - 1
                 text = [data[words.starts[k] : words.ends[k]].tobytes().translate(_TABLE) for k in range(begin, end)]
@@ -228,28 +233,52 @@ def _union(ranges: list) -> list[tuple[int, int]]:
 
 
 _FOUND = "n_words long, n_hit long, longest long, items array<string>, spans array<struct<begin: long, end: long>>"
+_RANGES = "_ark_ranges array<struct<begin: long, end: long>>"
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, space: Workspace | None = None) -> DataFrame:
     """docs with n_words, n_hit, longest (words of the longest hit range), items (sorted as
-    strings) and spans (byte ranges of the text that hold the hit words)."""
-    shards = build_shards(benchmark, item_col, item_text_col, window)
-    added = T.StructType.fromDDL(_FOUND)
+    strings) and spans (byte ranges of the text that hold the hit words). space: where the
+    passes of a large benchmark keep their tables."""
+    spark = docs.sparkSession
+    added = T.StructType.fromDDL(f"{_FOUND}, {_RANGES}")
+    found = docs.select(*[docs[c] for c in docs.columns if c not in added.names])
+    shards = _shards(benchmark, item_col, item_text_col, window)
+    group = list(islice(shards, SHARDS))
+    while True:
+        found = _pass(found, spark.sparkContext.broadcast(group), added, text_col)
+        group = list(islice(shards, SHARDS))
+        if not group:
+            return found.drop("_ark_ranges")
+        space = space or Workspace(spark, "decontam")
+        found = space.table(found)
+
+
+def _pass(docs: DataFrame, told, added: T.StructType, text_col: str) -> DataFrame:
+    """docs with what these shards find, beside what a pass before has found."""
     kept = [c for c in docs.columns if c not in added.names]
-    source = docs.select(*[docs[c] for c in kept], docs[text_col].cast("binary").alias("_ark_text"))
-    schema = T.StructType([*source.schema.fields[:-1], *added.fields])
+    before = ("items", "_ark_ranges") if "_ark_ranges" in docs.columns else ()
+    source = docs.select(*kept, docs[text_col].cast("binary").alias("_ark_text"), *(docs[c] for c in before))
+    schema = T.StructType([*[source.schema[c] for c in kept], *added.fields])
+    pairs = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
+        shards = told.value
         for batch in batches:
-            rows = list(_matched(batch.column(batch.num_columns - 1), shards))
+            known = [([], set()) for _ in range(batch.num_rows)]
+            if before:
+                known = [([(r["begin"], r["end"]) for r in ranges], set(items)) for items, ranges in zip(*(batch[c].to_pylist() for c in before), strict=True)]
+            rows = list(_matched(batch["_ark_text"], shards, known))
+            listed = lambda k, rows=rows: pa.array([[{"begin": x, "end": y} for x, y in r[k]] for r in rows], pairs)
             found = [
                 pa.array([r[0] for r in rows], pa.int64()),
                 pa.array([sum(y - x for x, y in r[1]) for r in rows], pa.int64()),
                 pa.array([max((y - x for x, y in r[1]), default=0) for r in rows], pa.int64()),
-                pa.array([sorted(str(k) for k in r[2]) for r in rows], pa.list_(pa.string())),
-                pa.array([[{"begin": x, "end": y} for x, y in r[3]] for r in rows], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
+                pa.array([sorted(map(str, r[2])) for r in rows], pa.list_(pa.string())),
+                listed(3),
+                listed(1),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *found], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -263,7 +292,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     # the parts between spans, joined again; positions count bytes from 1
     starts = F.concat(F.array(F.lit(0).cast("long")), F.col("spans.end"))
     stops = F.concat(F.col("spans.begin"), F.array(F.octet_length(raw).cast("long")))
-    pieces = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda p: F.decode(F.substring(raw, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")), "UTF-8"))
+    pieces = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda p: F.substring(raw, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")).cast("string"))
     clean = F.when(F.size("spans") > 0, F.array_join(pieces, "")).otherwise(F.col(text_col))
     kept = marked.where(F.col("n_hit") <= max_coverage * F.col("n_words"))
     return kept.withColumn(text_col, clean).select(*names)

@@ -43,7 +43,7 @@ BLANK = "▁"
 WORDS, EDGES, NEIGHBOURS = 150_000, 20_000, 150_000
 CACHED_LENGTH = 48
 CHECK_EVERY = 64
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 _UNKNOWN_PENALTY = 10.0  # as in the library

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _UNSTEP = pow(_STEP, -1, 1 << 64)
 _U = np.uint64

@@ -9,7 +9,9 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from arkline.llm import decontam, jaccard, secrets, textkit, urlrules, warc
 from arkline.llm.workspace import Workspace
@@ -109,12 +111,13 @@ def _plain_windows(text, items, window):
 
 
 def test_decontamination_equals_brute_force(spark, monkeypatch):
+    """In several passes, with items that go to several shards."""
     monkeypatch.setattr(decontam, "SHARD_WORDS", 7)
+    monkeypatch.setattr(decontam, "SHARDS", 4)
     rng = random.Random(3)
     texts = TEXTS + [" ".join(rng.choices("ab c d é".split(), k=rng.randint(0, 40))) for _ in range(150)]
-    items = [(i, " ".join(rng.choices("ab c d é".split(), k=rng.randint(0, 9)))) for i in range(12)] + [(50, None), (51, "A b C"), (52, "a B c"), (53, "")]
+    items = [(i, " ".join(rng.choices("ab c d é".split(), k=rng.randint(0, 9)))) for i in range(12)] + [(40, " ".join(rng.choices("ab c d é".split(), k=30))), (50, None), (51, "A b C"), (52, "a B c"), (53, "")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontam.build_shards, "__defaults__", (7,))
     marked = decontam.mark(_docs(spark, texts), benchmark, window=4)
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in marked.collect()}
     assert got == {i: _plain_windows(t, items, 4) for i, t in enumerate(texts)}
@@ -129,6 +132,14 @@ def test_decontamination_cuts_only_hits(spark):
     assert decontam.mark(_docs(spark, texts).limit(0), benchmark).count() == 0
 
 
+def test_cuts_leave_invalid_bytes_alone(spark):
+    benchmark = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    raw = [b"x\xff y and alpha beta gamma delta, then \xc3 more words of its own here", b"\xfe\xfe", b"alpha beta gamma delta \xff"]
+    docs = spark.createDataFrame(list(enumerate(raw)), "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    got = decontam.decontaminate(docs, benchmark, max_coverage=0.5)
+    assert {r.doc_id: bytes(r.b) for r in got.select("doc_id", F.col("text").cast("binary").alias("b")).collect()} == {0: b"x\xff y and , then \xc3 more words of its own here", 1: b"\xfe\xfe"}
+
+
 # ---------------------------------------------------------------- 4 near copies
 
 
@@ -178,6 +189,41 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, hot, split):
     space.release()
 
 
+def test_pivots_close_a_hot_group(spark, monkeypatch):
+    """Copies of one text with a word changed, some further off, and texts that share a passage only."""
+    monkeypatch.setattr(jaccard, "HOT", 8)
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(80)]
+    texts = []
+    for i in range(90):
+        own = list(base)
+        for _ in range(i % 4):
+            own[rng.randrange(80)] = f"n{i}"
+        texts.append(" ".join(own))
+    texts += [" ".join([*base[:30], *(f"u{i}x{k}" for k in range(60))]) for i in range(30)]
+    docs = _docs(spark, texts)
+    space = Workspace(spark, "test-jaccard")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, space).collect()}
+    assert got == _plain_components(texts)
+    keyed = docs.select(F.xxhash64("doc_id").alias("_ark_key"), F.col("text").cast("binary").alias("_ark_text"))
+    _, _, pivots, links = jaccard.divided(keyed, space)
+    sets = list(jaccard.shingle_sets(pa.array(texts)))
+    for s in sets:  # the index misses no pivot within 2 EPS
+        want = {k for k, p in enumerate(pivots.sets) if 5 * jaccard.shared(s, p) >= 3 * (len(s) + len(p) - jaccard.shared(s, p))}
+        assert {k for k, _, _ in pivots.near(s)} == want
+    assert links and sum(pivots.closed(s) for s in sets) > 20
+    space.release()
+
+
+def test_jaccard_join_of_odd_texts(spark):
+    space = Workspace(spark, "test-jaccard")
+    raw = [b"a \xff c d e f", b"a \xff c d e f", b"a \xfe c d e f", ("w " * 300_000).encode(), ("w " * 300_001).encode(), None, b""]
+    docs = spark.createDataFrame([(i % 6, x) for i, x in enumerate(raw)], "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"), F.lit(1).alias("component_id"), F.lit("k").alias("set"))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs, space).collect())
+    assert got == [(0, 0, 0), (0, 2, 0), (1, 2, 0), (2, 2, 2), (3, 1, 3), (4, 1, 3), (5, 0, 5)]
+    space.release()
+
+
 def test_one_of_each_component_stays(spark):
     space = Workspace(spark, "test-jaccard")
     texts = ["a b c d e f g h i j k l", "x y", "A b c d e f g h i j k l", "", None, "x  y", "z"]
