@@ -5,15 +5,17 @@ PREFIXES bytes, so inflections of a known word are near it. Filters of several w
 over the whole text; each keeps its largest response, and a logistic unit scores these.
 Training (Adam on the log loss) and scoring share one forward pass over many texts.
 
-The driver fits the model on at most MAX_ROWS labelled rows of each class, the first by a
-hash of their id, with whole texts; the model has a fixed size (BUCKETS x WIDTH numbers and
+The driver fits the model on a sample of labelled rows: of each class the ids that come first
+by a hash, with all their rows and whole texts, up to MAX_ROWS rows and MAX_BYTES bytes (an id
+beyond that is passed over). The model has a fixed size (BUCKETS x WIDTH numbers and
 the filters) and is broadcast. Scores calibrate on a part of these rows that training
 doesn't see; thresholds are then calibrated by language on the same part. Scoring is a pass
 over the rows without a shuffle. Inputs of a score are the words alone.
 
 Defined results: a null or wordless text has no responses and scores as the bias says;
-labels that are null, or without a document, are left out; repeated labels count each;
-with one class or none among the labels every score is that class's rate (0 without
+labels that are null, or without a document, are left out; a repeated label counts once, all
+rows of its document do, and an id with both labels has both; an empty table has no rows and
+leaves no labels; invalid UTF-8 counts as word bytes; with one class or none among the labels every score is that class's rate (0 without
 labels). Result columns replace input columns of the same name.
 """
 
@@ -23,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +37,7 @@ FILTERS = 8
 WIDTHS = (1, 2, 3)
 PREFIXES = (3, 4, 5)
 MAX_ROWS = 3000
+MAX_BYTES = 32 << 20
 PREDICT_AT = 0.7
 _U = np.uint64
 
@@ -161,18 +164,21 @@ def train(texts: list[tuple[np.ndarray, int]], steps_least: int = 900, epochs_le
                 d, f = np.nonzero(source[:, i * FILTERS : (i + 1) * FILTERS] >= 0)
                 at, g = source[d, i * FILTERS + f], back[d, i * FILTERS + f]
                 grad = np.zeros_like(model.filters[i])
+                which = (f[:, None] == np.arange(FILTERS)).astype(np.float32)
                 for j in range(w):
                     part = slice(j * WIDTH, (j + 1) * WIDTH)
-                    np.add.at(grad[part].T, f, g[:, None] * vectors[at + j])
+                    grad[part] = (g[:, None] * vectors[at + j]).T @ which
                     grads.append(g[:, None] * model.filters[i][part].T[f])
                     places.append(at + j)
                 steps[i].step(model.filters[i], grad + 1e-4 * model.filters[i])
-            grads, places = np.concatenate(grads), np.concatenate(places)
-            touched, where = np.unique(buckets[places], return_inverse=True)
-            total = np.zeros((len(touched), WIDTH), np.float32)
-            for k in range(buckets.shape[1]):
-                np.add.at(total, where.reshape(-1, buckets.shape[1])[:, k], grads)
-            steps["e"].step(model.embedding, total, touched)
+            if not sum(map(len, places)):
+                continue
+            # a word's gradient goes to all of its buckets: sums over runs of equal ones
+            held = buckets[np.concatenate(places)]
+            by_bucket = np.argsort(held, axis=None, kind="stable")
+            sums = np.concatenate(grads)[by_bucket // held.shape[1]]
+            touched, begin_at = np.unique(held.ravel()[by_bucket], return_index=True)
+            steps["e"].step(model.embedding, np.add.reduceat(sums, begin_at, axis=0), touched)
     model.training = False
     return model
 
@@ -208,17 +214,21 @@ def calibrate(model: Model, texts: list[tuple[np.ndarray, int, str | None]], wei
         model.thresholds[lang] = max((round(t, 2) for t in np.arange(0.3, 0.91, 0.05)), key=lambda t: (round(f1(t), 3), -abs(t - PREDICT_AT)))
 
 
-def sample_labels(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list, tuple[float, float]]:
-    """At most max_rows labelled rows of each class as (text, label, language), and how many
-    rows each sampled one stands for. labels: doc_id and toxic."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").alias("_ark_id"), F.col("toxic").alias("_ark_toxic"))
+def sample_labels(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[list, tuple[float, float]]:
+    """At most max_rows labelled rows and max_bytes of each class as (text, label, language), and
+    how many labels each sampled row stands for. labels: doc_id and toxic."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").alias("_ark_id"), F.col("toxic").cast("int").alias("_ark_toxic")).distinct()
     totals = {r[0]: r[1] for r in known.groupBy("_ark_toxic").count().collect()}
-    picked = [known.where(F.col("_ark_toxic") == k).orderBy(F.xxhash64(F.col("_ark_id").cast("string")), "_ark_id").limit(max_rows) for k in (0, 1)]
-    both = picked[0].unionByName(picked[1])  # of a proven size, so it broadcasts
+    sizes = docs.select(F.col("doc_id").alias("_ark_doc"), F.octet_length(F.col("text").cast("binary")).alias("_n")).groupBy("_ark_doc").agg(F.count("*").alias("rows"), F.coalesce(F.sum("_n"), F.lit(0)).alias("bytes"))
+    sized = known.join(sizes, F.col("_ark_doc") == F.col("_ark_id")).where((F.col("rows") <= max_rows) & (F.col("bytes") <= max_bytes))
+    first = [sized.where(F.col("_ark_toxic") == k).withColumn("_h", F.xxhash64(F.col("_ark_id").cast("string"))).orderBy("_h", "_ark_id").limit(max_rows) for k in (0, 1)]
+    upto = Window.partitionBy("_ark_toxic").orderBy("_h", "_ark_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over max_rows rows of each class
+    both = first[0].unionByName(first[1]).select("_ark_id", "_ark_toxic", F.sum("rows").over(upto).alias("r"), F.sum("bytes").over(upto).alias("b"))
+    both = both.where((F.col("r") <= max_rows) & (F.col("b") <= max_bytes)).select("_ark_id", "_ark_toxic")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     text = docs.select(F.col("doc_id").alias("_ark_doc"), F.col("text").cast("binary").alias("text"), lang.alias("lang"))
-    rows = text.join(F.broadcast(both), F.col("_ark_doc") == F.col("_ark_id")).orderBy("_ark_id", "_ark_toxic").select("text", "_ark_toxic", "lang")
-    got = [(bytes(t or b""), int(y), k) for t, y, k in rows.toLocalIterator(prefetchPartitions=True)]
+    rows = text.join(F.broadcast(both), F.col("_ark_doc") == F.col("_ark_id")).orderBy("_ark_id", "_ark_toxic", "text", "lang").select("text", "_ark_toxic", "lang")
+    got = [(bytes(t or b""), int(y), k) for t, y, k in rows.toLocalIterator()]
     share = [max(1.0, totals.get(k, 0) / max(1, sum(y == k for _, y, _ in got))) for k in (0, 1)]
     return got, (share[0], share[1])
 

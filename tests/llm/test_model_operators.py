@@ -412,6 +412,50 @@ def test_classifier_on_held_out_rows(spark):
     assert len(hits) > 100 and sum(hits) / len(hits) >= 0.9
 
 
+def test_responses_equal_a_plain_convolution():
+    """Every filter at every place of every text, one by one."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Model.new(5)
+    model.bias[:] = rng.normal(0, 0.1, model.bias.shape)
+    texts = ["", "one", "one two", " ".join(f"w{k}" for k in range(40)), "Ünï çode wörds here", "x " * 300, "a b c"]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    buckets, first = toxicity.features(np.frombuffer(data, np.uint8), offsets)
+    got = model.forward(buckets, first)[0]
+    for d in range(len(texts)):
+        words = [sum(model.embedding[b] for b in row) for row in buckets[first[d] : first[d + 1]]]
+        assert len(words) == len(re.findall(r"[0-9a-z\x80-\U0010ffff]+", texts[d].lower())) or texts[d] == "a b c"
+        want = []
+        for i, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                replies = [float(np.concatenate(words[k : k + w]) @ model.filters[i][:, f]) for k in range(len(words) - w + 1)]
+                want.append(max(0.0, max(replies) + float(model.bias[i * toxicity.FILTERS + f])) if replies else 0.0)
+        assert np.allclose(got[d], want, atol=1e-4)
+    raw = got @ model.out + model.out_bias
+    assert np.allclose(model.score(buckets, first), 1 / (1 + np.exp(-raw.astype(float))), atol=1e-6)
+
+
+def test_the_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i} " * (1 + 500 * (i == 7)), "en") for i in range(120)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2 + [(0, 1), (None, 1), (3, None), (999, 0)], "doc_id long, toxic int")
+    rows, _ = toxicity.sample_labels(docs, labels, 9, 1000)
+    assert {y: sum(r[1] == y for r in rows) for y in (0, 1)} == {0: 9, 1: 9} and sum(len(t) for t, _, _ in rows) < 2000
+    every, share = toxicity.sample_labels(docs, labels)
+    assert len(every) == 123 and all(s == 1.0 for s in share)
+    assert toxicity.sample_labels(docs.limit(0), labels)[0] == []
+    model = toxicity.fit(docs.limit(0), labels)
+    assert toxicity.score(docs.limit(0), model).count() == 0 and all(r.score < 1e-9 for r in toxicity.score(docs, model).collect())
+
+
+def test_very_long_and_repeated_documents(spark):
+    rows, docs, labels = _labelled(spark, 120)
+    model = toxicity.fit(docs, labels)
+    long = "w1 " * 400_000
+    more = spark.createDataFrame([(900, long + "vilezz nastyqq", "en"), (901, long, "en"), (1, rows[1][1], "xx"), (1, rows[1][1], "en"), (902, None, None)], "doc_id long, text string, lang string")
+    got = [(r.doc_id, r.score) for r in toxicity.score(more, model).collect()]
+    assert dict(got)[900] > dict(got)[901] and len({s for i, s in got if i == 1}) == 1 and len(got) == 5
+
+
 def test_scores_don_t_depend_on_the_batch(spark):
     rng = np.random.default_rng(0)
     model = toxicity.Model.new()
