@@ -1,8 +1,9 @@
 """WARC 1.1 archives: a writer with revisit records and a sequential reader.
 
-Every record is a gzip member of its own. The reader goes through a file once: it inflates
-members piece by piece, takes each record's length from its Content-Length, and checks
-block and payload digests while the bytes pass, so it holds one record at most. Files are
+Every record is a gzip member of its own; files without compression are read too. The reader
+goes through a file once: it inflates members piece by piece, takes each record's length from
+its Content-Length, and checks block and payload digests while the bytes pass, so it holds one
+record at most (without payloads a piece of one, and headers of up to HEADER_BYTES). Files are
 the unit of parallelism; the writer starts a new one beyond ``max_bytes``.
 
 The writer puts files where executors can all see them, under the partition's number, and
@@ -10,6 +11,7 @@ moves each into place when it is whole; a repeated task writes the same file aga
 
 Defined results: a null payload is empty; equal payloads are one response (the rows with
 the largest id; all of them, if the id repeats or is null throughout) and revisits of it;
+a payload's length is that of its bytes, for a revisit the Content-Length of its HTTP headers;
 control characters and blanks in a URI are percent-encoded, a null URI has no
 WARC-Target-URI; a repeated row gets a record of its own. A damaged or truncated file
 raises WarcError with the file's offset, or with ``mode=permissive`` ends that file with a
@@ -36,6 +38,7 @@ from .workspace import Workspace
 
 PIECE = 1 << 16
 FILE_BYTES = 1 << 30
+HEADER_BYTES = 1 << 20
 _ID = "urn:arkline:record:"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -124,6 +127,12 @@ class _Inflated:
             n -= len(part)
             yield part
 
+    def finish(self) -> bool:
+        """Whether the member ends here, after the two line ends that close a record."""
+        while len(self.out) <= 4 and self.more():
+            pass
+        return self.out == b"\r\n\r\n" and self.member.eof
+
     def at_end(self) -> bool:
         if not self.raw:
             self.raw = self.stream.read(PIECE)
@@ -131,6 +140,37 @@ class _Inflated:
         return not self.raw
 
 
+class _Plain(_Inflated):
+    """The bytes of a file without compression, one record at a time."""
+
+    def start(self) -> None:
+        self.out, self.begun = self.raw, self.read_to - len(self.raw)
+        self.raw = b""
+
+    def more(self) -> bool:
+        piece = self.stream.read(PIECE)
+        self.read_to += len(piece)
+        self.out += piece
+        return bool(piece)
+
+    def finish(self) -> bool:
+        while len(self.out) < 4 and self.more():
+            pass
+        ok, self.raw, self.out = self.out[:4] == b"\r\n\r\n", self.out[4:], b""
+        return ok
+
+
+class _Begun:
+    """A stream that still has its first bytes to give."""
+
+    def __init__(self, head: bytes, stream):
+        self.head, self.stream = head, stream
+
+    def read(self, n: int) -> bytes:
+        head, self.head = self.head, b""
+        return head or self.stream.read(n)
+
+
 def _fields(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").split("\r\n")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -138,10 +178,11 @@ def _fields(head: bytes) -> dict[str, str]:
 
 def read_records(stream, keep_payload: bool = True) -> Iterator[Record]:
     """The records of one archive, in order."""
-    source = _Inflated(stream)
+    begin = stream.read(5)
+    source = (_Plain if begin == b"WARC/" else _Inflated)(_Begun(begin, stream))
     while not source.at_end():
         source.start()
-        head = source.until(b"\r\n\r\n", 1 << 20)
+        head = source.until(b"\r\n\r\n", HEADER_BYTES)
         if not head.startswith(b"WARC/"):
             raise WarcError(f"no WARC record at {source.begun}")
         record = Record(source.begun, _fields(head))
@@ -149,27 +190,33 @@ def read_records(stream, keep_payload: bool = True) -> Iterator[Record]:
             left = int(record.headers["content-length"])
         except (KeyError, ValueError):
             raise WarcError(f"no Content-Length at {source.begun}") from None
+        revisit = record.headers.get("warc-type") == "revisit"
         block, payload, parts = hashlib.sha1(), hashlib.sha1(), []
-        http = b"" if record.headers.get("content-type", "").startswith("application/http") else None
+        http = bytearray() if record.headers.get("content-type", "").startswith("application/http") else None
         for part in source.take(left):
             block.update(part)
             if http is not None:
+                seen = max(0, len(http) - 3)
                 http += part
-                if (at := http.find(b"\r\n\r\n")) < 0:
+                if (at := http.find(b"\r\n\r\n", seen)) < 0:
+                    if len(http) > HEADER_BYTES:
+                        raise WarcError(f"no end of the HTTP headers at {source.begun}")
                     continue
-                record.payload_length = int(_fields(http[:at]).get("content-length", 0))
-                part, http = http[at + 4 :], None
+                named = _fields(bytes(http[:at])).get("content-length", "")
+                if revisit and named.isdecimal():
+                    record.payload_length = int(named)
+                part, http = bytes(http[at + 4 :]), None
+            if not revisit:
+                record.payload_length += len(part)
             payload.update(part)
             if keep_payload:
                 parts.append(part)
         record.payload = b"".join(parts)
         digest = lambda h: "sha1:" + base64.b32encode(h.digest()).decode()
         record.digest_ok = record.headers.get("warc-block-digest") in (None, digest(block))
-        if record.headers.get("warc-type") != "revisit":
+        if not revisit:
             record.digest_ok &= record.headers.get("warc-payload-digest") in (None, digest(payload))
-        while source.more():
-            pass
-        if source.out != b"\r\n\r\n":
+        if not source.finish():
             raise WarcError(f"the record at {source.begun} has another length than its Content-Length")
         yield record
 

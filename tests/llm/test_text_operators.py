@@ -93,6 +93,39 @@ def test_warc_wrong_digest_is_seen():
     assert not record.digest_ok
 
 
+def _plain_record(head: bytes, block: bytes) -> bytes:
+    return b"WARC/1.1\r\n" + head + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+
+def test_files_without_compression():
+    records = [(b"WARC-Type: warcinfo\r\n", b"info"), (b"WARC-Type: response\r\nContent-Type: application/http\r\n", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n12345"), (b"WARC-Type: response\r\nContent-Type: application/http\r\n", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\n" + b"z" * 200_000), (b"WARC-Type: resource\r\n", b"")]
+    raw = b"".join(_plain_record(*r) for r in records)
+    got = list(warc.read_records(io.BytesIO(raw)))
+    assert [(r.payload_length, len(r.payload)) for r in got] == [(4, 4), (5, 5), (200_000, 200_000), (0, 0)]
+    assert [raw[r.offset : r.offset + 5] for r in got] == [b"WARC/"] * 4
+    packed = b"".join(zlib.compress(_plain_record(*r), wbits=31) for r in records)
+    assert [(r.payload, r.payload_length) for r in warc.read_records(io.BytesIO(packed))] == [(r.payload, r.payload_length) for r in got]
+    assert list(warc.read_records(io.BytesIO(b""))) == []
+    for bad in (raw[:-3], raw[:300], raw.replace(b"12345", b"1234")):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_records(io.BytesIO(bad)))
+
+
+def test_headers_and_members_have_a_bound():
+    head = b"WARC-Type: response\r\nContent-Type: application/http\r\n"
+    for bad in (zlib.compress(_plain_record(head, b"x" * (3 << 20)), wbits=31), zlib.compress(_plain_record(b"WARC-Type: resource\r\n", b"x") + b"y" * (64 << 20), wbits=31)):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_records(io.BytesIO(bad)))
+
+
+def test_clashing_names_in_an_archive(spark):
+    space = Workspace(spark, "test-warc")
+    df = spark.createDataFrame([(1, "http://a", "x", "k", "p"), (2, "http://b", "x", "k", "p")], "page_id long, url string, html string, key string, payload string")
+    assert warc.write_warc(df, space.subdir("a"), "page_id", "url", "html", space) == 2
+    assert sorted((r.record_id, r.warc_type) for r in warc.read_warc(spark, space.subdir("a")).collect()) == [("1", "revisit"), ("2", "response")]
+    space.release()
+
+
 # ---------------------------------------------------------------- 3 decontamination
 
 
