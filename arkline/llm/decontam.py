@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import set_aside
 from .textkit import ALNUM, scan_words, scanned
 from .workspace import Workspace
 
@@ -286,7 +287,7 @@ def _pass(docs: DataFrame, told, added: T.StructType, text_col: str) -> DataFram
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_coverage: float = 0.5, window: int = WINDOW) -> DataFrame:
     """docs whose hit words are at most max_coverage of their words, with every hit range cut
     out of the text; same columns. Texts without a hit stay as they are."""
-    names = docs.columns
+    docs, own = set_aside(docs, ["n_words", "n_hit", "longest", "items", "spans", "_ark_ranges"])
     marked = mark(docs, benchmark, text_col, window=window)
     raw = F.col(text_col).cast("binary")
     # the parts between spans, joined again; positions count bytes from 1
@@ -295,7 +296,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     pieces = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda p: F.substring(raw, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")).cast("string"))
     clean = F.when(F.size("spans") > 0, F.array_join(pieces, "")).otherwise(F.col(text_col))
     kept = marked.where(F.col("n_hit") <= max_coverage * F.col("n_words"))
-    return kept.withColumn(text_col, clean).select(*names)
+    return own(kept.withColumn(text_col, clean))
 
 
 def op3(spark, sf_dir):

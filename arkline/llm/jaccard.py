@@ -190,7 +190,7 @@ class _Seen:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    schema = T.StructType([*docs.schema.fields[:-1], *T.StructType.fromDDL("_ark_n long, _set binary").fields])
+    schema = T.StructType([*docs.schema.fields[:-1], *T.StructType.fromDDL("_ark_n long, _ark_set binary").fields])
 
     def run(batches):
         for batch in batches:
@@ -513,22 +513,22 @@ def components(links: DataFrame, space: Workspace) -> DataFrame:
 
 
 def grouped(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(docs without text, with _ark_id, n_shingles and _set; a row for each _set with its
+    """(docs without text, with _ark_id, n_shingles and _ark_set; a row for each _ark_set with its
     smallest id, first, and its component's root)."""
     rest = [docs[c] for c in docs.columns if c not in (text_col, "n_shingles", "component_id")]
     signed = space.table(_signed(docs.select(*rest, docs[id_col].alias("_ark_id"), docs[text_col].cast("binary").alias("_ark_text"))).withColumnRenamed("_ark_n", "n_shingles"))
     texts = docs.select(F.xxhash64(docs[id_col]).alias("_ark_key"), docs[text_col].cast("binary").alias("_ark_text")).where("_ark_text IS NOT NULL")
     roots = set_components(texts, space)
-    firsts = signed.where("_set IS NOT NULL").groupBy("_set").agg(F.min("_ark_id").alias("first"))
-    return signed, space.table(firsts.join(roots, F.col("_set") == F.col("set"), "left").select("_set", "first", F.coalesce("root", "_set").alias("root")))
+    firsts = signed.where("_ark_set IS NOT NULL").groupBy("_ark_set").agg(F.min("_ark_id").alias("first"))
+    return signed, space.table(firsts.join(roots, F.col("_ark_set") == F.col("set"), "left").select("_ark_set", "first", F.coalesce("root", "_ark_set").alias("root")))
 
 
 def join(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_shingles and component_id, the smallest id among the texts it is linked to."""
     signed, rooted = grouped(docs, space, id_col, text_col)
     least = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("_component"))
-    named = space.table(rooted.join(least, F.col("root") == F.col("_root")).select(F.col("_set").alias("_named"), "_component"))
-    out = signed.join(named, F.col("_set") == F.col("_named"), "left")
+    named = space.table(rooted.join(least, F.col("root") == F.col("_root")).select(F.col("_ark_set").alias("_named"), "_component"))
+    out = signed.join(named, F.col("_ark_set") == F.col("_named"), "left")
     return out.select(*[c for c in docs.columns if c not in (text_col, "n_shingles", "component_id")], "n_shingles", F.coalesce("_component", "_ark_id").alias("component_id"))
 
 
@@ -536,11 +536,11 @@ def one_of_each(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_
     """docs with one row of each component: of its texts the one with the smallest id (a null
     id counts last). Texts without a word all stay."""
     _, rooted = grouped(docs.select(id_col, text_col), space, id_col, text_col)
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("n"), "first", "_set")).alias("k"))
-    keep = space.table(best.select(F.col("k.first").alias("_keep_id"), F.col("k._set").alias("_keep_set")))
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("n"), "first", "_ark_set")).alias("k"))
+    keep = space.table(best.select(F.col("k.first").alias("_keep_id"), F.col("k._ark_set").alias("_keep_set")))
     named = _signed(docs.select(*[docs[c] for c in docs.columns], docs[text_col].cast("binary").alias("_ark_text"))).drop("_ark_n")
-    kept = named.where("_set IS NOT NULL").join(keep, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_set") == F.col("_keep_set")), "left_semi")
-    return kept.dropDuplicates([id_col, "_set"]).unionByName(named.where("_set IS NULL")).select(*docs.columns)
+    kept = named.where("_ark_set IS NOT NULL").join(keep, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_ark_set") == F.col("_keep_set")), "left_semi")
+    return kept.dropDuplicates([id_col, "_ark_set"]).unionByName(named.where("_ark_set IS NULL")).select(*docs.columns)
 
 
 def set_components(texts: DataFrame, space: Workspace) -> DataFrame:

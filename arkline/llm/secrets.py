@@ -34,6 +34,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import set_aside
 from .filters import BitFilter
 from .workspace import Workspace
 
@@ -218,7 +219,7 @@ def hidden(text: str, findings: list) -> str:
 
 def redact(docs: DataFrame, ledger: Ledger, space: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every finding in the text replaced by [kind]; texts without one stay as they are and never leave the JVM."""
-    names = docs.columns
+    docs, own = set_aside(docs, ["findings"])
     found = scan(docs, ledger, space, id_col, text_col, WHOLE)
 
     @F.pandas_udf("string")
@@ -226,7 +227,7 @@ def redact(docs: DataFrame, ledger: Ledger, space: Workspace, id_col: str = "doc
         return pd.Series([None if t is None else hidden(bytes(t).decode("utf-8", "replace"), f) for t, f in zip(texts, findings, strict=True)], dtype=object)
 
     hit = F.size("findings") > 0
-    return found.withColumn(text_col, F.coalesce(cut(F.when(hit, F.col(text_col).cast("binary")), F.when(hit, F.col("findings"))), F.col(text_col))).select(*names)
+    return own(found.withColumn(text_col, F.coalesce(cut(F.when(hit, F.col(text_col).cast("binary")), F.when(hit, F.col("findings"))), F.col(text_col))))
 
 
 def _listed(findings):

@@ -475,27 +475,3 @@ def test_odd_labels(spark):
         assert [round(r.score, 6) for r in toxicity.score(docs, model).collect()] == [0, 0]
     model = toxicity.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
     assert [round(r.score, 6) for r in toxicity.score(docs, model).collect()] == [1, 1]
-
-
-# ---------------------------------------------------------------- pipeline
-
-
-def test_pipeline_stages(spark, data):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    space = Workspace(spark, "test-pipeline")
-    sizes = [docs.count()]
-    for name, stage in pipeline.STAGES[:-1]:
-        after = stage(spark, docs, data)
-        assert after.columns == docs.columns, name
-        docs = space.table(after)
-        sizes.append(docs.count())
-        assert docs.where("n_chars <> length(text)").isEmpty(), name
-    last = pipeline.STAGES[-1][1](spark, docs, data)
-    assert last.where("NOT round_trip").isEmpty() and last.count() == sizes[-1]
-    assert sizes == sorted(sizes, reverse=True) and sizes[2] < sizes[1] and sizes[-1] > sizes[0] / 2
-    benchmark = [re.sub(r"[^0-9a-z\x80-\U0010ffff]+", " ", r.text.lower()).strip() for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
-    texts = [re.sub(r"[^0-9a-z\x80-\U0010ffff]+", " ", r.text.lower()) for r in docs.select("text").collect()]
-    grams = {" ".join(b.split()[i : i + 10]) for b in benchmark for i in range(len(b.split()) - 9)}
-    assert not any(g in t for t in texts for g in list(grams)[:500])
-    space.release()
