@@ -3,6 +3,13 @@
 Every stage gets what the one before kept, as a table, and returns the columns of documents;
 the last returns the encoded texts. Stages keep clean documents: only toxic documents,
 all but one of each group of near copies, and texts that are mostly benchmark items go.
+
+Defined results: a null text stays null through all stages and has no ids; an empty or wordless
+text stays and is nobody's copy; of rows that repeat (id and text) one stays, as of other near
+copies; texts of any length are read whole; invalid UTF-8 stays as it is until a secret in the
+text is hidden, which makes it U+FFFD, and encodes as U+FFFD; further columns are carried to
+the last stage whatever their names; an empty table gives an empty result. Without labels no
+text is toxic, without a benchmark none is cut.
 """
 
 from __future__ import annotations
@@ -11,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arkline.llm import decontam, jaccard, pieces, secrets, toxicity
+from arkline.llm.columns import set_aside
 from arkline.llm.workspace import Workspace
 
 #: A text goes whole if more than this share of its words is benchmark text.
@@ -36,8 +44,9 @@ def _counted(before: DataFrame, after: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
-    scored = toxicity.score(docs, model)
-    return scored.where(F.col("score") < F.col("threshold")).select(*docs.columns)
+    rest, own = set_aside(docs, ["score", "threshold"])
+    scored = toxicity.score(rest, model)
+    return own(scored.where(F.col("score") < F.col("threshold")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +82,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents of sf_dir."""
     space = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = space.table(stage(spark, docs, sf_dir))
+        if before is not None:  # a stage's table goes when the next one is written
+            space.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
