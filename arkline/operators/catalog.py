@@ -8,6 +8,7 @@ archive order never gather more than an archive.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,6 +85,11 @@ def diff(old: DataFrame, new: DataFrame, strict: bool = False) -> DataFrame:
     return both.withColumn("kind", kind).drop("in_old", "in_new")
 
 
+def diff_rows(compared: DataFrame) -> DataFrame:
+    """The rows of a diff that differ, sorted by the bytes of their paths."""
+    return compared.where("kind <> 'identical'").orderBy("path")
+
+
 def diff_summary(compared: DataFrame) -> DataFrame:
     return compared.groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -97,10 +103,28 @@ def freshen(disk: DataFrame, archived: DataFrame) -> DataFrame:
     return disk.join(newest, "name").where(F.col("mtime_unix") > F.col("archived_mtime"))
 
 
-def upsert(base: DataFrame, batch: DataFrame, key: str = "name", order: str = "entry_idx") -> DataFrame:
-    """base without the batch's names, then the batch; the order column says so again."""
-    retained = base.join(batch.select(key).distinct(), key, "left_anti")
-    return retained.withColumn("_part", F.lit(0)).unionByName(batch.withColumn("_part", F.lit(1)), allowMissingColumns=True).withColumn(order, F.struct("_part", order)).drop("_part")
+def upsert(base: DataFrame, batch: DataFrame, key: str = "name", order: str = "entry_idx", by: Sequence[str] = (), renumber: bool = True) -> DataFrame:
+    """base without the batch's names, then the batch. The order column stays a number: the batch
+    counts on from the largest of base (of each ``by``), in its own order; without renumber its
+    numbers stay as they are."""
+    retained = base.join(batch.select(*by, key).distinct(), [*by, key], "left_anti")
+    if not renumber:
+        return retained.unionByName(batch, allowMissingColumns=True)
+    top = base.groupBy(*by).agg((F.max(order) + 1).alias("_top"))
+    first = batch.groupBy(*by).agg(F.min(order).alias("_first"))
+    moved = batch.join(first, list(by), "left").join(top, list(by), "left") if by else batch.crossJoin(first).crossJoin(top)  # single rows
+    moved = moved.withColumn(order, (F.col(order) - F.col("_first") + F.coalesce("_top", F.lit(0))).cast(base.schema[order].dataType)).drop("_first", "_top")
+    return retained.unionByName(moved, allowMissingColumns=True)
+
+
+def delete_at(entries: DataFrame, offsets: DataFrame, by: Sequence[str] = ("archive",)) -> DataFrame:
+    """Entries that stay when the files whose headers stand at these offsets (by, header_offset) go, with their own services."""
+    gone = entries.join(offsets.select(*by, "header_offset").distinct(), [*by, "header_offset"], "left_semi").select(*by, "entry_idx").withColumn("_hit", F.lit(True))
+    marked = entries.join(gone, [*by, "entry_idx"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    order = Window.partitionBy(*by).orderBy("entry_idx").rowsBetween(Window.unboundedPreceding, 0)
+    file_gone = F.coalesce(F.last(F.when(~F.col("is_service"), F.col("_hit")), True).over(order), F.lit(False))
+    kept_service = F.col("is_service") & F.coalesce(F.col("service_type"), F.lit("")).isin(*CHILDLESS)
+    return marked.withColumn("_gone", file_gone & ~kept_service).where(~F.col("_gone")).drop("_hit", "_gone")
 
 
 def owning_file(entries: DataFrame, by: Sequence[str] = ("archive",)) -> DataFrame:
@@ -187,6 +211,50 @@ def running_limit(entries: DataFrame, member_cap: int, total_cap: int, by: Seque
     return summed.withColumn("breach", breach).withColumn("aborted", F.coalesce(F.max(F.col("breach").isNotNull()).over(order), F.lit(False)))
 
 
+def header_limit(headers: DataFrame, count_cap: int, bytes_cap: int, by: Sequence[str] = ("archive",)) -> DataFrame:
+    """header_count and header_bytes so far, over all volumes of a set, and header_breach (count, bytes, null); a cap itself is allowed."""
+    order = Window.partitionBy(*by).orderBy("volume_idx", "header_offset").rowsBetween(Window.unboundedPreceding, 0)
+    counted = headers.withColumn("header_count", F.count("*").over(order)).withColumn("header_bytes", F.sum("header_size").over(order))
+    return counted.withColumn("header_breach", F.when(F.col("header_count") > count_cap, "count").when(F.col("header_bytes") > bytes_cap, "bytes"))
+
+
+def printed(entries: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
+    """Contents of the files that masks choose, to print in archive order."""
+    return visible(entries, include, exclude).where("NOT coalesce(is_dir, false)").select("entry_idx", "name", "content")
+
+
+def print_exit_code(entries: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
+    """files and exit_code: 10 where masks choose no file, else 0."""
+    return printed(entries, include, exclude).agg(F.count("*").alias("files")).withColumn("exit_code", F.when(F.col("files") == 0, 10).otherwise(0))
+
+
+def displayed(text: Column, columns: int | None = None) -> Column:
+    """A name for a terminal: escape sequences and control characters off, broken UTF-8 as U+FFFD,
+    cut to so many characters with an ellipsis as the last."""
+    plain = F.regexp_replace(F.make_valid_utf8(text), r"\x1b(\[[0-?]*[ -/]*[@-~])?|[\x00-\x1f\x7f-\x9f]", "")
+    return plain if columns is None else F.when(F.length(plain) > columns, F.concat(F.substring(plain, 1, max(columns - 1, 0)), F.lit("\u2026" if columns else ""))).otherwise(plain)
+
+
+#: Namespaces of extended attributes (fixed values).
+XATTR_SAFE = ("user.", "com.apple.metadata:", "com.apple.metadata.")
+XATTR_SECURITY = ("security.", "trusted.")
+XATTR_CONTENT = ("com.apple.ResourceFork", "com.apple.FinderInfo")
+
+
+def stored_xattrs(xattrs: Column) -> Column:
+    """The extended attributes that an archive may take, by name."""
+    name = lambda x: x["name"].cast("string")
+    allowed = lambda x: F.lit(False) | reduce(lambda a, p: a | name(x).startswith(p), (*XATTR_SAFE, *XATTR_SECURITY), name(x).isin(*XATTR_CONTENT))
+    return F.array_sort(F.filter(xattrs, allowed))
+
+
+def restored_xattrs(xattrs: Column, security: bool = False, apple: bool = False) -> Column:
+    """The extended attributes that extraction sets: security ones on demand, Apple's contents on Apple hosts."""
+    name = lambda x: x["name"].cast("string")
+    prefixes = (*XATTR_SAFE, *(XATTR_SECURITY if security else ()))
+    return F.filter(xattrs, lambda x: reduce(lambda a, p: a | name(x).startswith(p), prefixes, name(x).isin(*XATTR_CONTENT) if apple else F.lit(False)))
+
+
 def resolved_times(entries: DataFrame) -> DataFrame:
     """mtime_unix of the best source, clamped to 1970..3000, and whether that changed it."""
     value = times.resolved_mtime(F.col("htime_is_unix"), F.col("htime_mtime_unix"), F.col("utime_unix"), F.col("mtime_win"))

@@ -71,3 +71,15 @@ def affinity_order(files: DataFrame, chunks: DataFrame, permille: int = PERMILLE
     moved = joined.select("file_idx", F.when(F.col("reference_of") < F.col("file_idx"), F.col("_mg")).otherwise(F.col("group_idx")).alias("group_idx"))
     order = Window.orderBy("group_idx", "file_idx")  # one archive's batch: the result is a total order
     return moved.withColumn("position", F.row_number().over(order) - 1)
+
+
+#: Fingerprints that a plan holds at most (a fixed value).
+FINGERPRINT_CAP = 2_000_000
+
+
+def fingerprinted(files: DataFrame, cap: int = FINGERPRINT_CAP, by: tuple[str, ...] = ("plan",)) -> DataFrame:
+    """total (fingerprints up to and with the file, in order of file_idx) and fingerprinted: whether the
+    file still takes part; from the first that would pass the cap on none does. files: file_idx, chunks
+    and the columns of ``by``, a batch that is planned together."""
+    order = Window.partitionBy(*by).orderBy("file_idx").rowsBetween(Window.unboundedPreceding, 0)
+    return files.withColumn("total", F.sum("chunks").over(order)).withColumn("fingerprinted", F.max(F.col("total") > cap).over(order) == F.lit(False))

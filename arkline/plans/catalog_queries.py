@@ -141,8 +141,9 @@ def freshen(spark, sf_dir):
 
 @query("SELECT c_custkey AS key, c_name AS name, 0 AS part FROM customer WHERE c_custkey % 4 <> 1 UNION ALL SELECT c_custkey, c_name, 1 FROM customer WHERE c_custkey % 4 = 1")
 def upsert_replace(spark, sf_dir):
-    base = _read(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("entry_idx"))
-    return catalog.upsert(base, base.where("entry_idx % 4 = 1")).select(F.col("entry_idx.entry_idx").alias("key"), "name", F.col("entry_idx._part").alias("part"))
+    base = _read(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("entry_idx"), F.col("c_custkey").alias("key"))
+    added = F.col("entry_idx") > F.col("key")  # the batch's numbers follow all of base
+    return catalog.upsert(base, base.where("entry_idx % 4 = 1")).select("key", "name", added.cast("int").alias("part"))
 
 
 @query(

@@ -1,3 +1,4 @@
+import gzip
 import random
 
 import pandas as pd
@@ -36,3 +37,31 @@ def test_streamed_chunks_equal_whole_files(spark, tmp_path):
     query.stop()
     got = {name: sorted((r.offset, r.length, r.hash & (1 << 64) - 1) for r in spark.table("chunks").where(f"file = '{name}'").collect()) for name in files}
     assert got == {name: kernels.chunks(data) for name, data in files.items()}
+
+
+def test_streamed_codec_round_trip(spark, tmp_path):
+    rng = random.Random(7)
+    files = {"x": rng.randbytes(50_000) + b"ab" * 60_000, "y": b"", "z": b"hello " * 30_000}
+    rows = []
+    for name, data in files.items():
+        cuts = [data[i : i + 40_000] for i in range(0, len(data), 40_000)] or [b""]
+        rows += [(name, i, c, i == len(cuts) - 1) for i, c in enumerate(cuts)]
+    rng.shuffle(rows)
+    schema = "file string, seq long, content binary, last boolean"
+
+    def run(frames, work, label):
+        for i, part in enumerate(frames):
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/{label}/{i}")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{label}/*")
+        query = work(stream).writeStream.format("memory").queryName(label).outputMode("append").start()
+        query.processAllAvailable()
+        query.stop()
+        return [tuple(r) for r in spark.table(label).collect()]
+
+    packed = run([rows[i::3] for i in range(3)], feed.encode_files, "packed")
+    whole = {n: b"".join(bytes(c) for _, _, c, _ in sorted(r for r in packed if r[0] == n)) for n in files}
+    assert {n: gzip.decompress(x) for n, x in whole.items()} == files
+    assert len(whole["z"]) < 2_000
+    rng.shuffle(packed)
+    back = run([packed[i::2] for i in range(2)], feed.decode_files, "unpacked")
+    assert {n: b"".join(bytes(c) for _, _, c, _ in sorted(r for r in back if r[0] == n)) for n in files} == files
