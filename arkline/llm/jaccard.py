@@ -58,11 +58,11 @@ WORDS = 5
 HOT = 64
 LEVELS = 2
 MAX_HOT = 200_000
-PIVOTS = 512  # of each level
+PIVOTS = 256  # of each level
 PIVOT_SIZE = 4096  # shingles of a pivot at most; with PIVOTS and LEVELS a bound of what is broadcast
 SPLIT = 20_000
 BINS = 128
-FLUSH = 1 << 17
+FLUSH = 1 << 16
 _U = np.uint64
 _NO_LEAD = np.iinfo(np.int64).max
 _KEY_BITS = 48
@@ -177,7 +177,7 @@ class Pivots:
 class _Seen:
     """Names met in this task; forgets all when full, which costs repeated rows only."""
 
-    def __init__(self, most: int = 100_000):
+    def __init__(self, most: int = 50_000):
         self.names, self.most = set(), most
 
     def new(self, name: bytes) -> bool:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 18
+SEGMENT = 1 << 17
 _STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _UNSTEP = pow(_STEP, -1, 1 << 64)
 _U = np.uint64
@@ -131,7 +131,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def chunks(offsets: np.ndarray, size: int = 4 * SEGMENT) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, size: int = 2 * SEGMENT) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about size bytes together, one text at least."""
     i, n = 0, len(offsets) - 1
     while i < n:

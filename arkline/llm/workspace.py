@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: While a table is written: its plan's shuffle files go when it is done, and Arrow batches are
 #: small, so that what Python holds of them is too.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 @contextmanager
