@@ -26,6 +26,12 @@ MAX_COVERAGE = 0.5
 _open: list[Workspace] = []
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """The pipeline's own setting for its session: what Python workers and Arrow buffers hold at once stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def _space(spark: SparkSession, label: str) -> Workspace:
     """A workspace for one stage; those of stages before, whose results are written by now, end."""
     while _open:
@@ -42,6 +48,7 @@ def _counted(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
     rest, own = set_aside(docs, ["score", "threshold"])
