@@ -40,7 +40,7 @@ from .textkit import chunks, span_hashes, utf8_column
 
 BLANK = "▁"
 #: What a task keeps at most: words, parts of pieces, judged neighbours; about 50 MB together.
-WORDS, EDGES, NEIGHBOURS = 150_000, 20_000, 150_000
+WORDS, EDGES, NEIGHBOURS = 400_000, 20_000, 150_000
 CACHED_LENGTH = 48
 CHECK_EVERY = 64
 SEGMENT = 1 << 18
@@ -86,26 +86,75 @@ class _Edges:
     right: list
 
 
+class _Table:
+    """Numbers by 64-bit keys (not -1), many at a time: open addressing in two arrays of 2**bits places."""
+
+    _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.clear()
+
+    def clear(self) -> None:
+        # probes may run over the end, so some places more
+        self.keys, self.values, self.count = np.full((1 << self.bits) + 4096, -1, np.int64), np.full((1 << self.bits) + 4096, -1, np.int32), 0
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * self._SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of these keys, -1 for those that aren't held."""
+        at, out = self._home(keys), np.full(len(keys), -1, np.int32)
+        held = self.keys[at]
+        hit = held == keys
+        out[hit] = self.values[at[hit]]
+        live = np.flatnonzero(~hit & (held != -1))
+        while len(live):
+            at[live] += 1
+            held = self.keys[at[live]]
+            hit = held == keys[live]
+            out[live[hit]] = self.values[at[live[hit]]]
+            live = live[~hit & (held != -1)]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Different keys that aren't held yet; there must be room."""
+        at, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            _, first = np.unique(at[left], return_index=True)
+            mine = np.zeros(len(left), bool)
+            mine[first] = True
+            mine &= self.keys[at[left]] == -1
+            self.keys[at[left[mine]]], self.values[at[left[mine]]] = keys[left[mine]], values[left[mine]]
+            left = left[~mine]
+            at[left] += 1
+        self.count += len(keys)
+
+
 class _Known:
     """Words met so far: the ids of a word's key, and whether they decode to the word."""
 
     def __init__(self):
+        self.places = _Table((2 * WORDS).bit_length())
         self.clear()
 
     def clear(self) -> None:
-        self.places: dict[int, int] = {}
+        self.places.clear()
         self.ids, self.begins, self.equal = array("i"), array("q", [0]), array("b")
 
     @property
     def count(self) -> int:
         return len(self.equal)
 
-    def add(self, key: int, ids: array, equal: bool) -> int:
-        self.ids.extend(ids)
-        self.begins.append(len(self.ids))
-        self.equal.append(equal)
-        self.places[key] = self.count - 1
-        return self.count - 1
+    def extend(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, equal: np.ndarray) -> np.ndarray:
+        """Where the words of these keys, with so many ids each, are kept."""
+        begin = self.count
+        self.ids.frombytes(ids.astype(np.int32).tobytes())
+        self.begins.frombytes((self.begins[-1] + np.cumsum(counts)).astype(np.int64).tobytes())
+        self.equal.frombytes(equal.astype(np.int8).tobytes())
+        where = np.arange(begin, begin + len(keys))
+        self.places.add(keys, where)
+        return where
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Copies, so that words can still be added."""
@@ -146,6 +195,8 @@ class Codec:
             for c in piece:
                 node = node[1].setdefault(c, [-1, {}])
             node[0] = i
+        self.steps: _Table | None = None
+        self.neighbours = _Table((4 * NEIGHBOURS).bit_length())
         self.alone = {p for p in self.ids if len(p) == 1}  # characters that have a piece
         # an ASCII byte is a character of its own wherever it stands
         self.surfaces = [p if t == _NORMAL else chr(int(p[3:5], 16)) if t == _BYTE and int(p[3:5], 16) < 128 else None for p, t in zip(model.pieces, model.types, strict=True)]
@@ -188,7 +239,7 @@ class Codec:
     def _word(self, word: str) -> tuple[int, ...]:
         found = tuple(self._search(word))
         if len(word) <= CACHED_LENGTH:
-            if len(self.words) >= WORDS // 8:
+            if len(self.words) >= WORDS // 20:
                 self.words.clear()
             self.words[word] = found
         return found
@@ -250,18 +301,23 @@ class Codec:
             return ids, np.array([len(ids)]), np.array([self.decode(ids.tolist()) == word[1:]])
         base = starts[0]
         hashes = span_hashes(data[base : ends[-1]], starts - base, ends - base)
-        keys, at, where = np.unique(hashes + (ends - starts).astype(np.uint64), return_index=True, return_inverse=True)
+        keys = (hashes + (ends - starts).astype(np.uint64)).view(np.int64)
+        keys, at, where = np.unique(np.where(keys == -1, 0, keys), return_index=True, return_inverse=True)
         known = self.known
         if known.count + len(keys) > WORDS:
             known.clear()
-        get, places = known.places.get, np.empty(len(keys), np.int64)
-        for k, key in enumerate(keys.tolist()):
-            place = get(key)
-            if place is None:
-                word = data[starts[at[k]] : ends[at[k]]].tobytes().decode()
-                ids = array("i", self._search(word.replace(" ", BLANK)))
-                place = known.add(key, ids, self.decode(ids) == word[1:])
-            places[k] = place
+        places = known.places.get(keys).astype(np.int64)
+        fresh = np.flatnonzero(places < 0)
+        words = [data[a:b].tobytes().decode() for a, b in zip(starts[at[fresh]].tolist(), ends[at[fresh]].tolist(), strict=True)]
+        escaped = [w.replace(" ", BLANK) for w in words]
+        if self.model.kind == BPE:
+            short = np.array([len(w) <= CHECK_EVERY for w in words], bool)
+            own = fresh[short]
+            places[own] = known.extend(keys[own], *self._together([w for w, x in zip(escaped, short.tolist(), strict=True) if x]))
+            fresh, escaped = fresh[~short], [w for w, x in zip(escaped, short.tolist(), strict=True) if not x]
+        for k, word in zip(fresh.tolist(), escaped, strict=True):
+            ids = array("i", self._search(word))
+            places[k] = known.extend(keys[k : k + 1], np.array(ids, np.int32), np.array([len(ids)]), np.array([self.decode(ids) == word[1:].replace(BLANK, " ")]))[0]
         flat, begins, equal = known.arrays()
         own = places[where]
         counts = begins[own + 1] - begins[own]
@@ -351,6 +407,122 @@ class Codec:
             begin += 1
         yield from self._emit(via, back, size - base, text, base, run)[0]
 
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of many short words of a BPE model, their number for each, and whether they decode to
+        the word. A step takes one boundary of each word further, its pieces by a walk of the
+        prefixes and its path by the judged neighbours; no commit can come before a short word's end."""
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
+        sizes = np.array([len(w) for w in words], np.int64)
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ends = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(code)) - (ends - sizes)[owner]  # of a character in its word
+        last = ends[owner]
+        # pieces by where they begin and end
+        if self.steps is None:
+            self._flatten()
+        get, piece = self.steps.get, self.piece_of
+        if self.neighbours.count > NEIGHBOURS:
+            self.neighbours.clear()
+        begin, stop = np.arange(len(code)), np.arange(1, len(code) + 1)
+        node = get(code).astype(np.int64)
+        alone = np.where(node >= 0, piece[node], -1)
+        odd = np.flatnonzero(alone < 0)
+        found = [(begin[odd], stop[odd], np.array([self._strange(chr(c)) for c in code[odd].tolist()], np.int64))]
+        while len(begin):
+            on = node >= 0
+            begin, stop, node = begin[on], stop[on], node[on]
+            number = piece[node]
+            is_piece = number >= 0
+            found.append((begin[is_piece], stop[is_piece], number[is_piece]))
+            on = stop < last[begin]
+            begin, stop, node = begin[on], stop[on], node[on]
+            node = get((node << 21) + code[stop]).astype(np.int64)
+            stop = stop + 1
+        begin, stop, number = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(place[begin], kind="stable")
+        begin, stop, number = begin[order], stop[order], number[order]
+        cuts = np.searchsorted(place[begin], np.arange(int(sizes.max(initial=0)) + 1))
+        # boundaries: a word of n characters has n + 1, numbered on through the words
+        head = begin + owner[begin]
+        tail = stop + owner[begin]
+        via, back = np.full(len(code) + len(words), -2, np.int64), np.zeros(len(code) + len(words), np.int64)
+        via[ends - sizes + np.arange(len(words))] = -1
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            open_ = lo + np.flatnonzero(via[tail[lo:hi]] == -2)
+            before, these = via[head[open_]], number[open_]
+            keys = (before + 1 << 32) + these
+            ok = self.neighbours.get(keys)
+            asked = np.flatnonzero(ok < 0)
+            if len(asked):
+                new, first, where = np.unique(keys[asked], return_index=True, return_inverse=True)
+                found = np.array([self._apart(self.texts[x] if x >= 0 else "", self.texts[y]) for x, y in zip(before[asked[first]].tolist(), these[asked[first]].tolist(), strict=True)], np.int32)
+                self.neighbours.add(new, found)
+                ok[asked] = found[where]
+            good = open_[ok > 0]
+            via[tail[good]], back[tail[good]] = number[good], head[good]
+        # back from every word's end
+        at, word = ends + np.arange(len(words)), np.arange(len(words))
+        steps = []
+        while len(at):
+            on = via[at] >= 0
+            at, word = at[on], word[on]
+            steps.append((word, via[at]))
+            at = back[at]
+        word, number = (np.concatenate(x) for x in zip(*steps[::-1], strict=True))
+        order = np.argsort(word, kind="stable")
+        word, number = word[order], number[order]
+        counts = np.bincount(word, minlength=len(words))
+        strange = np.zeros(len(words), bool)
+        strange[owner[odd]] = True
+        # the others decode at once: equal as a whole, and each as long as its word
+        plain = ~strange[word]
+        length = np.bincount(word[plain], self.length_of[number[plain]], len(words)).astype(np.int64)
+        equal = length == sizes
+        if "".join(map(self.surfaces.__getitem__, number[plain].tolist())) != "".join(w for w, x in zip(words, strange.tolist(), strict=True) if not x):
+            equal[:] = False
+        if not strange.any() and equal.all():
+            return number.astype(np.int32), counts, equal
+        known, first = len(self.model.pieces), np.append(0, np.cumsum(counts))
+        paths = []
+        for w, text in enumerate(words):
+            path = number[first[w] : first[w + 1]].tolist()
+            if strange[w] or not equal[w]:
+                path = self._spelled(path, known)
+                equal[w] = self.decode(path) == text[1:].replace(BLANK, " ")
+            paths.append(path)
+        return np.array([i for p in paths for i in p], np.int32), np.array([len(p) for p in paths], np.int64), equal
+
+    def _spelled(self, path: list[int], known: int) -> list[int]:
+        """A path's ids, characters without a piece as bytes or as one unknown id for a run."""
+        out, run = [], False
+        for number in path:
+            if number < known:
+                out.append(number)
+                run = False
+            elif self.model.byte_fallback:
+                out.extend(self.bytes[x] for x in self.texts[number].encode("utf-8", "surrogatepass"))
+            else:
+                if not run:
+                    out.append(self.unknown)
+                run = True
+        return out
+
+    def _flatten(self) -> None:
+        """The trie as one table: (node, character) to node, the root's without a node; and nodes' pieces."""
+        keys, pieces, stack = [], [], [(0, self.trie)]
+        while stack:
+            above, node = stack.pop()
+            for c, below in node[1].items():
+                keys.append((above << 21) + ord(c))
+                pieces.append(below[0])
+                stack.append((len(keys), below))
+        self.steps = _Table((2 * len(keys)).bit_length())
+        self.steps.add(np.array(keys, np.int64), np.arange(1, len(keys) + 1))
+        self.piece_of = np.array([-1, *pieces], np.int64)
+        self.length_of = np.array([len(p) for p in self.model.pieces], np.int64)
+
     def _short(self, text: str) -> list[int]:
         """The search for a BPE model where no commit can come before the end."""
         size, apart, first = len(text), self.apart, self.trie[1]

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,6 +265,37 @@ def test_unigram_paths_are_as_good_as_the_library():
         assert mine == theirs or abs(weight(mine) - weight(theirs)) < 1e-2 * max(1, len(mine))
 
 
+@pytest.mark.parametrize("words, segment", [(400_000, 1 << 18), (60, 200)])
+def test_texts_together_equal_the_library(monkeypatch, words, segment):
+    """Many texts at once, also with caches that fill up and texts cut into many pieces."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "WORDS", words)
+    monkeypatch.setattr(pieces, "SEGMENT", segment)
+    data = _model(pieces.BPE)
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=data), pieces.Codec(pieces.ModelFile.parse(data))
+    rng = random.Random(9)
+    bits = [" ", "  ", "a", "the", "\n", "▁", "é", "日本", "\U0001f600", "\x00", "Hello", "world.", "x" * 90]
+    texts = [None, *_texts(), *("".join(rng.choices(bits, k=rng.randrange(30))) for _ in range(300))]
+    got = []
+    for begin, ids, counts, equal in own.encode_all(pa.array(texts)):
+        assert begin == len(got) and equal.all()
+        ends = np.cumsum(counts)
+        got += [ids[a:b].tolist() for a, b in zip(ends - counts, ends, strict=True)]
+    assert got == [library.encode(t or "") for t in texts]
+    broken = list(own.encode_all(pa.array([b"ok \xff \xe2\x96", b"", b"\x96\x81 x"], pa.binary())))
+    assert [int(n) for part in broken for n in part[2]] == [len(library.encode(t)) for t in ("ok \ufffd \ufffd", "", "\ufffd\ufffd x")]
+
+
+def test_tables_hold_what_was_added():
+    rng = np.random.default_rng(0)
+    table, keys = pieces._Table(10), rng.choice(1 << 40, 600, replace=False)
+    table.add(keys[:300], np.arange(300))
+    assert (table.get(keys[:300]) == np.arange(300)).all() and (table.get(keys[300:]) == -1).all()
+    table.add(keys[300:], np.arange(300, 600))
+    assert (table.get(keys) == np.arange(600)).all() and table.count == 600
+
+
 def test_search_commits_early():
     codec = pieces.Codec(pieces.ModelFile.parse(_model(pieces.BPE)))
     sizes, meeting = [], codec._meeting
