@@ -6,9 +6,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .kernels import derive_keys
+from .kernels import derive_keys, hmac_sha256
 
 
 def _xor_16(block: Column) -> Column:
@@ -38,3 +38,19 @@ def keys_column(password: pd.Series, salt: pd.Series, lg2_count: pd.Series) -> p
             known[key] = derive_keys(*key)
         rows.append(known[key])
     return pd.DataFrame(rows, columns=["aes_key", "hash_key", "check"])
+
+
+@pandas_udf(LongType())
+def keyed_sum(crc: pd.Series, hash_key: pd.Series) -> pd.Series:
+    """A CRC-32 as encrypted entries note it: an HMAC of it folded to 32 bits; without a key the sum itself."""
+
+    def one(value, key):
+        if key is None or pd.isna(value):
+            return value
+        mac = hmac_sha256(bytes(key), int(value).to_bytes(4, "little"))
+        folded = 0
+        for k in range(0, 32, 4):
+            folded ^= int.from_bytes(mac[k : k + 4], "little")
+        return folded
+
+    return pd.Series([one(*row) for row in zip(crc, hash_key, strict=True)], dtype="Int64")

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from arkline.functions import kernels
 from arkline.operators import catalog
 from arkline.plans import archive_queries, catalog_queries
 from arkline.sources import archives, rar5
@@ -114,3 +115,35 @@ def test_displayed_names_have_no_controls(spark):
     raw = ["a\x1b[1;31mb\x1b[0m", "x\x00y\tz", "é" * 5, "\x1b", None]
     df = spark.createDataFrame([(r,) for r in raw], "n string")
     assert [r[0] for r in df.select(catalog.displayed(F.col("n"), 4)).collect()] == ["ab", "xyz", "ééé…", "", None]
+
+
+def test_encrypted_payloads_open_with_their_password(spark, tmp_path):
+    import hashlib
+    import zlib
+
+    salt, iv, lg2 = bytes(range(16)), bytes(range(16, 32)), 5
+    aes, hash_key, check = kernels.derive_keys("secret é", salt, lg2)
+    plain = [b"", b"x" * 16, b"some text of thirty-nine bytes or thereabouts"]
+    parts = [rar5.SIGNATURE, rar5._block(rar5.MAIN, 0, kernels.vint(0))]
+    for k, text in enumerate(plain):
+        padded = text + bytes(-len(text) % 16)
+        row = spark.createDataFrame([(padded, aes, iv)], "c binary, k binary, iv binary")
+        # CBC by blocks: each is the encryption of the text xor the block before
+        out, last = b"", iv
+        for at in range(0, len(padded), 16):
+            block = bytes(a ^ b for a, b in zip(padded[at : at + 16], last, strict=True))
+            last = bytes(row.select(F.substring(F.aes_encrypt(F.lit(block), F.col("k"), F.lit("ECB"), F.lit("PKCS")), 1, 16)).first()[0])
+            out += last
+        mac, folded = kernels.hmac_sha256(hash_key, zlib.crc32(text).to_bytes(4, "little")), 0
+        for i in range(0, 32, 4):
+            folded ^= int.from_bytes(mac[i : i + 4], "little")
+        parts += [rar5.file_header(f"f{k}", out, crypt=(len(text), folded, lg2, salt, iv, check + hashlib.sha256(check).digest()[:4])), out]
+    parts += [rar5.file_header("open", b"open"), b"open", rar5._block(rar5.END, 0, kernels.vint(0))]
+    (tmp_path / "a.rar").write_bytes(b"".join(parts))
+    entries = archives.read_archives(spark, f"file://{tmp_path}/a.rar", content=True, encrypted="raw")
+    got = {r["name"]: (bytes(r["content"]), r.ok, r.locked) for r in archives.decrypted(entries, "secret é").collect()}
+    assert got == {"f0": (b"", True, False), "f1": (plain[1], True, False), "f2": (plain[2], True, False), "open": (b"open", True, False)}
+    wrong = {r["name"]: (r["content"], r.ok, r.locked) for r in archives.decrypted(entries, "other").collect()}
+    assert wrong["f2"] == (None, None, True) and wrong["open"][1:] == (True, False)
+    closed = archives.read_archives(spark, f"file://{tmp_path}/a.rar", content=True).where("name = 'f2'").first()
+    assert closed["content"] is None and closed.ok is None
