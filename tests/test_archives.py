@@ -1,7 +1,9 @@
 """Archives written and read back, and the registered queries of archives against their SQL."""
 
+import gzip
 import io
 import random
+import tarfile
 
 import duckdb
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from arkline.functions import kernels
 from arkline.operators import catalog
 from arkline.plans import archive_queries, catalog_queries
-from arkline.sources import archives, rar5
+from arkline.sources import archives, foreign, rar5
 
 NAMES = [n for n, f in catalog_queries.QUERIES.items() if f.__module__ == archive_queries.__name__]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -147,3 +149,28 @@ def test_encrypted_payloads_open_with_their_password(spark, tmp_path):
     assert wrong["f2"] == (None, None, True) and wrong["open"][1:] == (True, False)
     closed = archives.read_archives(spark, f"file://{tmp_path}/a.rar", content=True).where("name = 'f2'").first()
     assert closed["content"] is None and closed.ok is None
+
+
+def test_global_pax_records_hold_for_all_members():
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w", format=tarfile.PAX_FORMAT, pax_headers={"mtime": "7.5"}) as t:
+        for name in ("a", "b"):
+            info = tarfile.TarInfo(name)
+            info.size = 1
+            t.addfile(info, io.BytesIO(b"x"))
+    raw = out.getvalue()
+    assert [(e["name"], e["utime_unix"], e["mtime_ns"]) for e in foreign.read_tar(io.BytesIO(raw), len(raw), "x")] == [("a", 7, 500_000_000), ("b", 7, 500_000_000)]
+
+
+def test_gzip_passes_in_pieces():
+    texts = [b"", b"one", random.Random(2).randbytes(300_000), b"z" * 2_000_000]
+    raw = b"".join(gzip.compress(t, mtime=9) for t in texts)
+    entry, content = foreign.read_gzip(io.BytesIO(raw + bytes(100)), "d/x.txt.gz")
+    assert content == b"".join(texts) and (entry["name"], entry["unp_size"], entry["utime_unix"], entry["pack_size"]) == ("x.txt", len(content), 9, len(raw) + 100)
+    again, nothing = foreign.read_gzip(io.BytesIO(raw), "d/x.txt.gz", keep=False)
+    assert nothing is None and again["crc32"] == entry["crc32"]
+    for bad in (raw[:-3], raw + b"tail", raw[:1000] + bytes([raw[1000] ^ 1]) + raw[1001:]):
+        with pytest.raises(rar5.ArchiveError):
+            foreign.read_gzip(io.BytesIO(bad), "x.gz")
+    with pytest.raises(rar5.ArchiveError, match="cap"):
+        foreign.read_gzip(io.BytesIO(raw), "x.gz", cap=1_000_000)
