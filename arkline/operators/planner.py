@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sizes
+from ..sources.folders import scratch
+from .ranks import numbered
 from .solid import plan_solid
 
 REPRESENTATIVES = 8
@@ -59,8 +61,10 @@ def affinity_order(files: DataFrame, chunks: DataFrame, permille: int = PERMILLE
     belongs to its master's group.
     """
     up = files.select("file_idx").join(partners(chunks, permille), "file_idx", "left").select("file_idx", F.coalesce("partner_idx", "file_idx").alias("group_idx"))
+    folder, step = scratch(files.sparkSession, "affinity"), 0
     while True:
-        up = up.checkpoint() if files.sparkSession.sparkContext.getCheckpointDir() else up.cache()
+        up.write.parquet(f"{folder}/{step}")
+        up, step = files.sparkSession.read.schema(up.schema).parquet(f"{folder}/{step}"), step + 1
         above = up.select(F.col("file_idx").alias("_f"), F.col("group_idx").alias("_g"))
         jumped = up.join(above, F.col("group_idx") == F.col("_f")).select("file_idx", "group_idx", "_g")
         if jumped.where("group_idx <> _g").isEmpty():
@@ -69,8 +73,7 @@ def affinity_order(files: DataFrame, chunks: DataFrame, permille: int = PERMILLE
     master = up.select(F.col("file_idx").alias("_m"), F.col("group_idx").alias("_mg"))
     joined = up.join(files, "file_idx").join(master, F.col("reference_of") == F.col("_m"), "left")
     moved = joined.select("file_idx", F.when(F.col("reference_of") < F.col("file_idx"), F.col("_mg")).otherwise(F.col("group_idx")).alias("group_idx"))
-    order = Window.orderBy("group_idx", "file_idx")  # one archive's batch: the result is a total order
-    return moved.withColumn("position", F.row_number().over(order) - 1)
+    return numbered(moved, "group_idx", "file_idx", name="position").withColumn("position", F.col("position").cast("int"))
 
 
 #: Fingerprints that a plan holds at most (a fixed value).
