@@ -9,6 +9,7 @@ Hashes have 64 bits and end in a mixing step; memory is bounded by SEGMENT bytes
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,3 +147,11 @@ def scanned(column: pa.Array, table: np.ndarray) -> Iterator[tuple[int, int, np.
     for i, j in chunks(offsets):
         part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         yield i, j, part, own, scan_words(part, own, table)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system; glibc and Arrow otherwise keep what arrays have left."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -21,6 +21,7 @@ labels). Result columns replace input columns of the same name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import _BYTE_VALUES, ALNUM, chunks, mix, scan_words, utf8_column
+from .textkit import _BYTE_VALUES, ALNUM, chunks, give_back, mix, scan_words, utf8_column
 
 BUCKETS = 1 << 16
 WIDTH = 16
@@ -43,19 +44,19 @@ _U = np.uint64
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words x (1 + PREFIXES) bucket numbers, first word of each text)."""
+    """(words x (1 + PREFIXES) bucket numbers of 16 bits, first word of each text)."""
     words = scan_words(data, offsets, ALNUM)
     mapped = ALNUM[data]
     size = words.ends - words.starts
-    out = np.empty((len(size), 1 + len(PREFIXES)), np.int64)
-    out[:, 0] = (words.hashes % _U(BUCKETS)).astype(np.int64)
+    out = np.empty((len(size), 1 + len(PREFIXES)), np.uint16)
+    out[:, 0] = (words.hashes % _U(BUCKETS)).astype(np.uint16)
     state = np.zeros(len(size), np.uint64)
     for k in range(max(PREFIXES)):
         inside = size > k
         at = np.minimum(words.starts + k, max(len(data) - 1, 0))
         state = np.where(inside, mix(state * _U(0x9E3779B97F4A7C15) + _BYTE_VALUES[mapped[at]]), state) if len(at) else state
         if k + 1 in PREFIXES:
-            out[:, 1 + PREFIXES.index(k + 1)] = (mix(state + _U(k + 1)) % _U(BUCKETS)).astype(np.int64)
+            out[:, 1 + PREFIXES.index(k + 1)] = (mix(state + _U(k + 1)) % _U(BUCKETS)).astype(np.uint16)
     return out, words.first
 
 
@@ -214,9 +215,10 @@ def calibrate(model: Model, texts: list[tuple[np.ndarray, int, str | None]], wei
         model.thresholds[lang] = max((round(t, 2) for t in np.arange(0.3, 0.91, 0.05)), key=lambda t: (round(f1(t), 3), -abs(t - PREDICT_AT)))
 
 
-def sample_labels(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[list, tuple[float, float]]:
+def sample_labels(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, kept: Callable = bytes) -> tuple[list, tuple[float, float]]:
     """At most max_rows labelled rows and max_bytes of each class as (text, label, language), and
-    how many labels each sampled row stands for. labels: doc_id and toxic."""
+    how many labels each sampled row stands for. labels: doc_id and toxic; kept: what is held of a
+    text's bytes, an array. The rows come in one job, not one for each partition."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").alias("_ark_id"), F.col("toxic").cast("int").alias("_ark_toxic")).distinct()
     totals = {r[0]: r[1] for r in known.groupBy("_ark_toxic").count().collect()}
     sizes = docs.select(F.col("doc_id").alias("_ark_doc"), F.octet_length(F.col("text").cast("binary")).alias("_n")).groupBy("_ark_doc").agg(F.count("*").alias("rows"), F.coalesce(F.sum("_n"), F.lit(0)).alias("bytes"))
@@ -228,17 +230,24 @@ def sample_labels(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     text = docs.select(F.col("doc_id").alias("_ark_doc"), F.col("text").cast("binary").alias("text"), lang.alias("lang"))
     rows = text.join(F.broadcast(both), F.col("_ark_doc") == F.col("_ark_id")).orderBy("_ark_id", "_ark_toxic", "text", "lang").select("text", "_ark_toxic", "lang")
-    got = [(bytes(t or b""), int(y), k) for t, y, k in rows.toLocalIterator()]
+    batches, got = rows.toArrow().to_batches()[::-1], []
+    while batches:  # a batch goes when its texts are read
+        batch = batches.pop()
+        data, offsets = utf8_column(batch.column(0))
+        got += [(kept(data[i:j]), y, k) for i, j, y, k in zip(offsets[:-1], offsets[1:], batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
     share = [max(1.0, totals.get(k, 0) / max(1, sum(y == k for _, y, _ in got))) for k in (0, 1)]
     return got, (share[0], share[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    rows, weights = sample_labels(docs, labels, max_rows)
-    ready = []
-    for text, label, lang in rows:
-        data = np.frombuffer(text, np.uint8)
-        ready.append((features(data, np.array([0, len(data)]))[0], label, lang))
+    """Of the sampled texts the driver holds the bucket numbers only, and returns their memory when the model is made."""
+    try:
+        return _fitted(*sample_labels(docs, labels, max_rows, kept=lambda text: features(text, np.array([0, len(text)]))[0]))
+    finally:
+        give_back()
+
+
+def _fitted(ready: list, weights: tuple[float, float]) -> Model:
     if len({y for _, y, _ in ready}) < 2:
         model = Model.new()
         model.out[:] = 0

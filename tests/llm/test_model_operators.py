@@ -479,6 +479,29 @@ def test_the_sample_is_bounded(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0 and all(r.score < 1e-9 for r in toxicity.score(docs, model).collect())
 
 
+def test_the_sample_comes_in_few_jobs_and_is_held_as_bucket_numbers(spark, monkeypatch):
+    rows, docs, labels = _labelled(spark, 300)
+    held, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts: held.extend(texts) or train(texts))
+    own = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        began = jobs()
+        toxicity.fit(docs, labels)
+        assert jobs() - began < 40  # not one for each partition
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(len(t) for t, _ in held) > 3000 and all(t.nbytes <= 8 * len(t) for t, _ in held)
+    text = rows[0][1].encode()
+    data = np.frombuffer(text, np.uint8)
+    kept = toxicity.sample_labels(docs.where("doc_id = 0"), labels, kept=lambda t: toxicity.features(t, np.array([0, len(t)]))[0])[0]
+    assert (kept[0][0] == toxicity.features(data, np.array([0, len(data)]))[0]).all() and toxicity.sample_labels(docs.where("doc_id = 0"), labels)[0][0][0] == text
+
+
 def test_very_long_and_repeated_documents(spark):
     rows, docs, labels = _labelled(spark, 120)
     model = toxicity.fit(docs, labels)
