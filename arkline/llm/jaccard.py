@@ -308,8 +308,9 @@ def _settle(pivots: Pivots, near: DataFrame) -> None:
     for a, b in near.where("linked AND pivot <> home").select("pivot", "home").distinct().collect():
         group[group == group[a]] = group[b]
     spark = near.sparkSession
-    own = F.broadcast(spark.createDataFrame([(i, int(g)) for i, g in enumerate(group)], "_p int, _own int"))
-    other = F.broadcast(spark.createDataFrame([(i, int(g)) for i, g in enumerate(group)], "_h int, _other int"))
+    number = np.arange(len(group), dtype=np.int32)
+    own = F.broadcast(spark.createDataFrame(pa.table({"_p": number, "_own": group.astype(np.int32)})))  # Arrow tables: lists of rows start Python workers of another kind, which stay
+    other = F.broadcast(spark.createDataFrame(pa.table({"_h": number, "_other": group.astype(np.int32)})))
     met = near.join(own, F.col("pivot") == F.col("_p")).join(other, F.col("home") == F.col("_h"), "left")
     pivots.reach = np.full(len(group), 0.4 + 1e-6)
     for k, apart in met.where("_other IS NULL OR _other <> _own").groupBy("pivot").agg(F.min("apart")).collect():
@@ -333,7 +334,7 @@ def divided(texts: DataFrame, space: Workspace) -> tuple[Order, dict[int, int],
                 pivots.group[: len(before.names)], pivots.reach[: len(before.names)] = before.group, before.reach
             near = space.table(_measured(texts, pivots))
             _settle(pivots, near)
-            names = F.broadcast(spark.createDataFrame([(i, bytearray(n)) for i, n in enumerate(pivots.names)], "_p int, a binary"))
+            names = F.broadcast(spark.createDataFrame(pa.table({"_p": np.arange(len(pivots.names), dtype=np.int32), "a": pa.array(pivots.names, pa.binary())})))
             links.append(near.where("linked").join(names, F.col("pivot") == F.col("_p")).select("a", F.col("set").alias("b")))
         room = MAX_HOT - len(order.values)
         got = counts.where(F.col("n") > HOT).orderBy(F.desc("n"), "pivot").limit(room).select("pivot", "n").toArrow() if room else None

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import set_aside
 from .filters import BitFilter
@@ -112,7 +113,7 @@ class Ledger:
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], self.SCHEMA)
+            return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(self.SCHEMA)])
 
     def add(self, scanned: DataFrame) -> str:
         """A batch in a folder of its own, so a failed one leaves no half-read rows."""
