@@ -42,16 +42,17 @@ bytes. Other columns are carried. Result columns replace input columns of the sa
 
 from __future__ import annotations
 
-import hashlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .filters import BitFilter
-from .textkit import SPACED, mix, scanned
+from .textkit import SPACED, mix, scan_spaced, scanned
 from .workspace import Workspace
 
 WORDS = 5
@@ -72,8 +73,8 @@ _MIXERS = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | _U(1)
 
 def shingle_sets(column: pa.Array):
     """The sorted distinct shingle hashes of each text."""
-    for i, j, _, _, words in scanned(column, SPACED):
-        h, first = words.hashes, words.first
+    for _, _, _, _, words in scanned(column, SPACED, scan_spaced):
+        h, first = words.hashes, words.first.tolist()
         full = np.zeros(0, np.uint64)
         if len(h) >= WORDS:
             span = len(h) - WORDS + 1
@@ -81,14 +82,23 @@ def shingle_sets(column: pa.Array):
             for k in range(1, WORDS):
                 full += h[k : k + span] * _MIXERS[k]
             full = mix(full)
-        for d in range(j - i):
-            a, b = int(first[d]), int(first[d + 1])
+        for a, b in pairwise(first):
             if b - a >= WORDS:
-                own = np.sort(full[a : b - WORDS + 1])
-                fresh = np.empty(len(own), bool)
-                fresh[0] = True
-                np.not_equal(own[1:], own[:-1], out=fresh[1:])
-                yield own if fresh.all() else own[fresh]
+                full[a : b - WORDS + 1].sort()
+        again = np.zeros(len(full), bool)
+        np.equal(full[1:], full[:-1], out=again[1:])
+        repeated = np.append(np.flatnonzero(again), len(h)).tolist()
+        at = 0
+        for a, b in pairwise(first):
+            while repeated[at] <= a and repeated[at] < len(h):
+                at += 1
+            if b - a >= WORDS:
+                own = full[a : b - WORDS + 1]
+                if repeated[at] < b - WORDS + 1:
+                    fresh = ~again[a : b - WORDS + 1]
+                    fresh[0] = True
+                    own = own[fresh]
+                yield own
             elif b > a:
                 yield mix(np.array([(h[a:b] * _MIXERS[: b - a]).sum() + _U(b - a)], np.uint64))
             else:
@@ -96,7 +106,7 @@ def shingle_sets(column: pa.Array):
 
 
 def set_name(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return xxhash.xxh3_128_digest(s)
 
 
 def _in_sorted(s: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -124,11 +134,21 @@ class Order:
         self.values, self.counts = values[by_value], counts[by_value]
         self.rank = np.empty(len(values), np.int64)
         self.rank[np.lexsort((self.values, self.counts))] = np.arange(len(values))
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(self.values >> _U(44)).astype(np.int64)] = True
+
+    def crowded(self, s: np.ndarray) -> np.ndarray:
+        maybe = self.bits[(s >> _U(44)).view(np.int64)]
+        maybe[maybe] = _in_sorted(s[maybe], self.values)
+        return maybe
 
     def window(self, s: np.ndarray) -> np.ndarray:
-        crowded = _in_sorted(s, self.values)
-        if not crowded.any():
-            return s[: window(s)]
+        most = window(s)
+        head = s[: 2 * most]
+        head = head[~self.crowded(head)]
+        if len(head) >= most:
+            return head[:most]
+        crowded = self.crowded(s)
         last = s[crowded]
         return np.concatenate([s[~crowded], last[np.argsort(self.rank[np.searchsorted(self.values, last)])]])[: window(s)]
 
@@ -152,7 +172,7 @@ class Pivots:
 
     def near(self, s: np.ndarray) -> list[tuple[int, int, int]]:
         """(pivot, size of the intersection, of the union) for the pivots within 2 EPS."""
-        maybe = s[self.bits[(s >> _U(42)).astype(np.int64)]]
+        maybe = s[self.bits[(s >> _U(42)).view(np.int64)]]
         if not len(maybe):
             return []
         at = np.minimum(np.searchsorted(self.values, maybe), len(self.values) - 1)
@@ -171,7 +191,10 @@ class Pivots:
 
     def closed(self, s: np.ndarray) -> bool:
         """Whether all that links with s is of its component."""
-        return any(100 * i >= 80 * u and 1 - i / u + 0.2 + 1e-9 < self.reach[k] for k, i, u in self.near(s))
+        return self.closes(self.near(s))
+
+    def closes(self, near: list[tuple[int, int, int]]) -> bool:
+        return any(100 * i >= 80 * u and 1 - i / u + 0.2 + 1e-9 < self.reach[k] for k, i, u in near)
 
 
 class _Seen:
@@ -240,8 +263,8 @@ def _crowding(texts: DataFrame, order: Order, older: Order | None, pivots: Pivot
                 now = order.window(s)
             else:
                 then = older.window(s)
-                crowded = then[_in_sorted(then, order.values)]
-                newly = crowded[~_in_sorted(crowded, older.values)]
+                crowded = then[order.crowded(then)]
+                newly = crowded[~older.crowded(crowded)]
                 if not len(newly):
                     continue
                 own = 32767 - 32767 * len(crowded) // len(then)
@@ -288,8 +311,10 @@ def _measured(texts: DataFrame, pivots: Pivots) -> DataFrame:
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.float64()), strict=True)]
             return pa.RecordBatch.from_arrays(columns, names=["set", "pivot", "home", "linked", "apart"])
 
-        for _, name, s in _open_sets(batches, pivots):
+        for _, name, s in _open_sets(batches, None):
             near = pivots.near(s)
+            if pivots.closes(near):
+                continue
             inner = [(1 - i / u, k) for k, i, u in near if 100 * i >= 80 * u]
             home = min(inner)[1] if inner else -1
             out += [(name, k, home, 100 * i >= 80 * u, 1 - i / u) for k, i, u in near]

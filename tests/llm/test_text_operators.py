@@ -210,6 +210,44 @@ def _near_copies(rng, n):
     return texts
 
 
+def test_shingle_sets_take_words_by_eights(monkeypatch):
+    """The sets need no hash of every byte; words of any length, beside text borders too, are told apart."""
+
+    def refused(*_):
+        raise AssertionError("every byte was hashed")
+
+    monkeypatch.setattr(textkit, "SEGMENT", 64)
+    rng = random.Random(5)
+    pool = [bytes(rng.choices(b"aAz@[`{\x00\x08\x0e\xff", k=k)) for k in (1, 1, 2, 3, 7, 8, 9, 15, 16, 17, 31, 63, 64, 65, 72, 73, 200)]
+    pool += [w + b"\x00" for w in pool] + [w[:-1] + b"Q" for w in pool]
+    raw = [rng.choice([b"", b" "]) + b"".join(w + rng.choice([b" ", b"\t", b"\x0b\r "]) for w in rng.choices(pool, k=k)) + rng.choice(pool) for k in (0, 1, 3, 4, 5, 9, 40, 200) for _ in range(4)] + [b"", b"", b" \n"]
+    rng.shuffle(raw)
+    offsets, data = np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8)
+    plain, quick = textkit.scan_words(data, offsets, textkit.SPACED), textkit.scan_words(data, offsets, textkit.SPACED, textkit.scan_spaced)
+    assert all((getattr(plain, c) == getattr(quick, c)).all() for c in ("starts", "ends", "first"))
+    words = [data[a:b].tobytes().lower() for a, b in zip(quick.starts, quick.ends, strict=True)]
+    assert len(set(words)) == len(set(quick.hashes.tolist())) == len(set(zip(words, quick.hashes.tolist(), strict=True)))
+
+    monkeypatch.setattr(textkit, "span_hashes", refused)
+    texts = [re.findall(rb"[^\x20\x09-\x0d]+", r.lower()) for r in raw]
+    want = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set() for w in texts]
+    got = [s.copy() for s in jaccard.shingle_sets(pa.array(raw, pa.binary()))]
+    assert [len(s) for s in got] == [len(w) for w in want] and all((s[1:] > s[:-1]).all() for s in got)
+    assert all(jaccard.shared(got[i], got[j]) == len(want[i] & want[j]) for i in range(len(raw)) for j in range(i))
+
+
+def test_crowded_shingles_are_found():
+    rng = np.random.default_rng(6)
+    values = rng.integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2)
+    order = jaccard.Order(values[:3000], np.arange(3000))
+    s = np.sort(np.concatenate([values[2900:3100], values[2900:2950] + np.uint64(1)]))
+    assert (order.crowded(s) == np.isin(s, values[:3000])).all() and not order.crowded(s[:0]).any()
+    first = s[~np.isin(s, values[:3000])]
+    assert (order.window(s) == first[: jaccard.window(s)]).all()
+    last = values[2900:3000]  # counts ascend
+    assert (order.window(np.sort(last)) == last[: jaccard.window(last)]).all()
+
+
 @pytest.mark.parametrize("hot, split", [(64, 20_000), (2, 3), (0, 1)])
 def test_jaccard_join_equals_brute_force(spark, monkeypatch, hot, split):
     """Also with nearly every shingle last in the order, and with every hot region divided."""
